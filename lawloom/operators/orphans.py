@@ -28,7 +28,7 @@ class Bloom:
         found = F.lit(True)
         for p in _positions(key, self.size):
             word = F.get(words, F.shiftright(p, 6).cast("int"))
-            found = found & (F.shiftright(word, (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+            found = found & (F.getbit(word, (p % 64).cast("int")) == 1)
         return found
 
 
