@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.llm import canonical, density, lookalikes
+from lawloom.llm import canonical, density, lookalikes, similar
 from lawloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,38 @@ def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d).describe()
 
 
+# -- problem 4: most similar vectors
+
+DIM, NEIGHBOURS, FLOOR = 64, 5, 0.9
+
+
+def _collections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    units = table(spark, d, "law_units").select(F.concat("id", F.lit("_embedding")).alias("key"), F.col("embedding").alias("v"))
+    enriched = table(spark, d, "law_unit_enriched")
+    content = enriched.select(F.concat("id", F.lit("_content")).alias("key"), F.col("content_vector").alias("v"))
+    questions = enriched.select("id", F.posexplode("question_vectors").alias("n", "v")).select(F.concat("id", F.lit("_question_"), "n").alias("key"), "v")
+    return units, content.unionByName(questions)
+
+
+def _similar_pairs(vectors: DataFrame) -> DataFrame:
+    near = similar.similar(vectors, "key", "v", DIM, NEIGHBOURS, FLOOR)
+    return near.select(F.least("key", "neighbour").alias("vec_a"), F.greatest("key", "neighbour").alias("vec_b")).distinct()
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    units, enriched = _collections(spark, d)
+    return _similar_pairs(units).unionByName(_similar_pairs(enriched))
+
+
+@query("p4_neighbours")
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar vectors, at any cosine, of every embedding whose vec_id is divisible by 100, against all."""
+    e = table(spark, d, "embeddings")
+    near = similar.similar(e, "vec_id", "embedding", DIM, NEIGHBOURS, probes=16, per_cell=128, asks=F.col("vec_id") % 100 == 0)
+    return near.select(F.col("key").cast("long").alias("vec_id"), F.col("neighbour").cast("long").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "rank")
+
+
 # -- problem 5: look-alike characters
 
 
