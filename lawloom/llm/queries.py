@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.llm import canonical, density, lookalikes, similar
+from lawloom.llm import canonical, density, lookalikes, mojibake, similar
 from lawloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_normalized(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every record that is not ordinary throughout."""
     return _lookalikes(spark, d)
+
+
+# -- problem 10: wrong encodings
+
+
+def _restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restore_documents(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _restored(spark, d).select(F.col("key").alias("doc_id")).distinct()
+
+
+@query("p10_restored")
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The restored text of every ruling of which something was decoded wrongly."""
+    return _restored(spark, d).select(F.col("key").alias("doc_id"), "restored")
