@@ -85,6 +85,7 @@ def _swaps(taken: str, right: str) -> dict[str, str]:
 _COMMA = str.maketrans("şţŞŢ", "șțȘȚ")
 _SINGLE = list({tuple(sorted(t.items())): t for t in (_swaps(*p) for p in SINGLE)}.values())
 _SWAPPED = "".join(sorted({c for t in _SINGLE for c in t}))
+_BEYOND = re.compile(r"[^\x00-\x7F]{2,}")
 _LOST_SIGN = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -124,12 +125,11 @@ class Corpus:
 
 def _undo_multi(text: str) -> str:
     """Read wrongly decoded UTF-8 sequences again, encoding by encoding, also where this happened more than once."""
-    for _ in range(4):
-        if text.isascii():
-            return text
+    for _ in range(6):
+        beyond = "\n".join(_BEYOND.findall(text))
         best, least = None, 0
         for pattern, readings in _MULTI:
-            n = sum(len(m) for m in pattern.findall(text))
+            n = sum(map(len, pattern.findall(beyond)))
             if n > least:
                 best, least = (pattern, readings), n
         if best is None:
@@ -166,10 +166,10 @@ def _undo_single(text: str, corpus: Corpus) -> tuple[str, float]:
     return (best, top) if top > ODDS else (text, top)
 
 
-def _fill(word: str, corpus: Corpus, beam: int = 24) -> str:
+def _fill(word: str, corpus: Corpus, width: int, beam: int = 24) -> str:
     """Viterbi over the letters that lost characters of a word can have been, under trigrams and word frequencies.
 
-    A lost character (or two running, for one of two bytes) is an edge for each letter; the others are single edges.
+    A lost character, of as many marks as ``width``, is an edge for each letter; the others are single edges.
     """
     low = word.lower()
     paths = [(0.0, "^^", "")]
@@ -177,33 +177,45 @@ def _fill(word: str, corpus: Corpus, beam: int = 24) -> str:
     while i < len(low):
         grown = []
         if low[i] in (LOST, "?"):
-            width = 2 if low[i : i + 2] == LOST * 2 else 1
+            step = width if low[i : i + width] == LOST * width else 1
             options: Iterable[str] = corpus.letters
         else:
-            width, options = 1, (low[i],)
+            step, options = 1, (low[i],)
         for cost, context, out in paths:
             for ch in options:
                 grown.append((cost + corpus.step(context, ch), context[1] + ch, out + ch))
         paths = sorted(grown, reverse=True)[:beam]
-        i += width
+        i += step
     best = max(paths, key=lambda p: p[0] + corpus.step(p[1], "$") + 2 * math.log1p(corpus.words.get(p[2], 0)))[2]
     return best.upper() if word.isupper() and len(word) > 1 else best[:1].upper() + best[1:] if word[:1].isupper() else best
 
 
 _DAMAGED = re.compile(rf"[^\W\d_]*(?:{LOST}+[^\W\d_]*)+|[^\W\d_]+(?:\?[^\W\d_]+)+")
-_ELISION = re.compile(rf"\b([ldjmnstcLDJMNSTC]|qu|Qu)(?:{LOST}{{3}}|{LOST}|\?)(?=[aeiouhâêéèîôAEIOUHÂÊÉÈÎÔ{LOST}])")
-_GENITIVE = re.compile(rf"(?<=[a-z])(?:{LOST}{{3}}|{LOST}|\?)s\b")
-_NUMERO = re.compile(rf"\bn(?:{LOST}{{2}}|{LOST}|\?)(?= ?\d)")
+_BEFORE = r"\b([ldjmnstcLDJMNSTC]|qu|Qu)"
+_VOWEL = rf"(?=[aeiouhâêéèîôAEIOUHÂÊÉÈÎÔ{LOST}])"
+_ENGLISH = re.compile(r"\b(?:the|of)\b")
+_ROMANIAN = re.compile(r"\b(?:și|în|nr|din)\b")
+
+
+def _signs(lost: str, letter: str) -> tuple[re.Pattern[str], ...]:
+    return tuple(map(re.compile, (rf"\bn{letter}(?= ?\d)", rf"(?<=[a-z]){lost}s\b", rf"{_BEFORE}{lost}{_VOWEL}", rf"(?<![\w{LOST}]){lost}(?=\w)", rf"(?<=\w){lost}(?![\w{LOST}])", rf"(?<=\s){lost}(?=\s)")))
+
+
+#: Lost bytes: a sign has three of them, a letter two. Lost characters: either has one.
+_LOST_BYTES, _LOST_CHARS = _signs(LOST * 3, LOST * 2), _signs(rf"[{LOST}?]", rf"[{LOST}?]")
 
 
 def _fill_all(text: str, corpus: Corpus) -> str:
     """Fill in lost characters: signs by their surroundings, letters by Viterbi search."""
-    text = _NUMERO.sub("nº", _GENITIVE.sub("’s", _ELISION.sub("\\1’", text)))
-    # three bytes lost in a row were a sign
-    text = re.sub(rf"(?<!\w){LOST}{{3}}(?=\w)", "„" if "ă" in text or "ș" in text else "“", text)
-    text = re.sub(rf"(?<=\w){LOST}{{3}}(?!\w)", "”", text)
-    text = re.sub(rf"(?<=\s){LOST}{{3}}(?=\s)", "–", text)
-    return _DAMAGED.sub(lambda m: _fill(m.group(), corpus) if any(c.isalpha() and c != LOST for c in m.group()) else m.group(), text)
+    by_char = any(len(r) == 1 for r in re.findall(rf"(?<![^\W\d_]){LOST}+(?=[^\W\d_])|(?<=[^\W\d_]){LOST}+(?=[^\W\d_])", text)) or LOST not in text
+    number, genitive, elision, opening, closing, dash = _LOST_CHARS if by_char else _LOST_BYTES
+    text = number.sub("nº", text)
+    if _ENGLISH.search(text):
+        text = genitive.sub("’s", text)
+    text = elision.sub("\\1’", text)
+    if not by_char:
+        text = dash.sub("–", closing.sub("”", opening.sub("„" if _ROMANIAN.search(text) else "“", text)))
+    return _DAMAGED.sub(lambda m: _fill(m.group(), corpus, 1 if by_char else 2) if any(c.isalpha() for c in m.group()) else m.group(), text)
 
 
 def restore(text: str | None, corpus: Corpus) -> tuple[str | None, bool]:
