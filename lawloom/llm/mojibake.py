@@ -84,11 +84,10 @@ def _swaps(taken: str, right: str) -> dict[str, str]:
 
 _COMMA = str.maketrans("şţŞŢ", "șțȘȚ")
 _SINGLE = list({tuple(sorted(t.items())): t for t in (_swaps(*p) for p in SINGLE)}.values())
+_SWAP_WORDS = [re.compile(rf"[^\W\d_]*[{''.join(t)}][^\W\d_]*") for t in _SINGLE]
 _SWAPPED = "".join(sorted({c for t in _SINGLE for c in t}))
 _BEYOND = re.compile(r"[^\x00-\x7F]{2,}")
 _LOST_SIGN = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
-_WORD = re.compile(r"[^\W\d_]+")
-
 _plain = "".join(sorted(INVENTORY - set("ÂâĂº")))
 #: A text without a match is in order: every reading of a wrong decoding has a character outside the inventory, or one
 #: of a few inventory letters before a sign; lost characters show as such or as a question mark inside a word.
@@ -109,6 +108,7 @@ class Corpus:
             self.bigrams[t[:2]] = self.bigrams.get(t[:2], 0) + n
         self.letters = sorted({t[2] for t in self.trigrams if t[2] in LETTERS and t[2] not in "şţÿ"})
         self.cache: dict[str, float] = {}
+        self.filled: dict[tuple[str, int], str] = {}
 
     def step(self, context: str, ch: str) -> float:
         return math.log((self.trigrams.get(context + ch, 0) + 0.02) / (self.bigrams.get(context, 0) + 1.0))
@@ -144,7 +144,7 @@ def _undo_single(text: str, corpus: Corpus) -> tuple[str, float]:
     if not any(c in text for c in _SWAPPED):
         return text, 0.0
     best, top = text, 0.0
-    for table in _SINGLE:
+    for table, some in zip(_SINGLE, _SWAP_WORDS, strict=True):
         if not any(c in text for c in table):
             continue
         swap = str.maketrans(table)
@@ -160,7 +160,7 @@ def _undo_single(text: str, corpus: Corpus) -> tuple[str, float]:
             most = max(most, odds)
             return other if odds > 0 else word
 
-        fixed = _WORD.sub(fix, text)
+        fixed = some.sub(fix, text)
         if most > top:
             best, top = fixed, most
     return (best, top) if top > ODDS else (text, top)
@@ -171,6 +171,8 @@ def _fill(word: str, corpus: Corpus, width: int, beam: int = 24) -> str:
 
     A lost character, of as many marks as ``width``, is an edge for each letter; the others are single edges.
     """
+    if (word, width) in corpus.filled:
+        return corpus.filled[word, width]
     low = word.lower()
     paths = [(0.0, "^^", "")]
     i = 0
@@ -187,7 +189,11 @@ def _fill(word: str, corpus: Corpus, width: int, beam: int = 24) -> str:
         paths = sorted(grown, reverse=True)[:beam]
         i += step
     best = max(paths, key=lambda p: p[0] + corpus.step(p[1], "$") + 2 * math.log1p(corpus.words.get(p[2], 0)))[2]
-    return best.upper() if word.isupper() and len(word) > 1 else best[:1].upper() + best[1:] if word[:1].isupper() else best
+    best = best.upper() if word.isupper() and len(word) > 1 else best[:1].upper() + best[1:] if word[:1].isupper() else best
+    if len(corpus.filled) > 1 << 16:
+        corpus.filled.clear()
+    corpus.filled[word, width] = best
+    return best
 
 
 _DAMAGED = re.compile(rf"[^\W\d_]*(?:{LOST}+[^\W\d_]*)+|[^\W\d_]+(?:\?[^\W\d_]+)+")

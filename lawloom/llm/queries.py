@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawloom.llm import canonical, density, lookalikes, mojibake, similar
+from lawloom.llm import canonical, density, leakage, lookalikes, mojibake, packing, similar
 from lawloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +116,43 @@ def p5_normalized(spark: SparkSession, d: str) -> DataFrame:
     return _lookalikes(spark, d)
 
 
+# -- problem 8: containers
+
+CAPACITY = 4096
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.count_tokens(table(spark, d, "documents"), "doc_id", "text"), CAPACITY)
+
+
+@query("p8_packed")
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnRenamed("key", "doc_id")
+
+
+@query("p8_report")
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(_packed(spark, d), CAPACITY)
+
+
+# -- problem 9: evaluation items in the corpus
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select(F.col("key").alias("doc_id"), F.col("item_key").alias("item_id"))
+
+
+@query("p9_report")
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per item the number of rulings it leaked into and the longest run of its words found."""
+    return _leaks(spark, d).groupBy(F.col("item_key").alias("item_id")).agg(F.count("*").alias("n_docs"), F.max("n_words").alias("longest"))
+
+
 # -- problem 10: wrong encodings
 
 
