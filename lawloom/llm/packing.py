@@ -92,12 +92,15 @@ def _open(loads: np.ndarray, capacity: int, last: bool) -> np.ndarray:
     return wait
 
 
-def _round(t: pa.Table, level: int, capacity: int, last: bool) -> pa.Table:
-    part = t["part"][0].as_py()
-    bins, loads = best_fit(t["n_tokens"].to_numpy(), capacity)
-    ids = (level << 58) + (part << 28) + np.arange(len(loads), dtype=np.int64)
-    wait = _open(loads, capacity, last)
-    return pa.table({"part": t["part"], "id": t["id"], "piece": t["piece"], "n_tokens": t["n_tokens"], "bin": ids[bins], "load": loads[bins], "open": wait[bins]})
+def _round(level: int, capacity: int, last: bool):
+    def fill(t: pa.Table) -> pa.Table:
+        part = t["part"][0].as_py()
+        bins, loads = best_fit(t["n_tokens"].to_numpy(), capacity)
+        ids = (level << 58) + (part << 28) + np.arange(len(loads), dtype=np.int64)
+        wait = _open(loads, capacity, last)
+        return pa.table({"part": t["part"], "id": t["id"], "piece": t["piece"], "n_tokens": t["n_tokens"], "bin": ids[bins], "load": loads[bins], "open": wait[bins]})
+
+    return fill
 
 
 _SCHEMA = "part long, id long, piece int, n_tokens long, bin long, load long, open boolean"
@@ -123,13 +126,13 @@ def pack(sizes: DataFrame, capacity: int, per_task: int = PER_TASK) -> DataFrame
     parts = max(parallelism(spark), -(-sizes.count() // per_task))
     loose = pieces.where((F.col("n_tokens") > 0) & (F.col("n_tokens") < capacity)).select(F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).alias("part"), "id", "piece", "n_tokens")
     last = parts == 1
-    packed = materialize(loose.groupBy("part").applyInArrow(lambda t, z=last: _round(t, 1, capacity, z), _SCHEMA), "packed")
+    packed = materialize(loose.groupBy("part").applyInArrow(_round(1, capacity, last), _SCHEMA), "packed")
     result, level, rest = packed.select("id", "piece", "n_tokens", "bin"), 1, packed
     while not last:
         level, parts = level + 1, -(-parts // FAN_IN)
         last = parts == 1
         waiting = rest.where("open").select(F.floor(F.col("part") / FAN_IN).alias("part"), F.col("bin").alias("id"), F.lit(0).alias("piece"), F.col("load").alias("n_tokens")).distinct()
-        rest = materialize(waiting.groupBy("part").applyInArrow(lambda t, n=level, z=last: _round(t, n, capacity, z), _SCHEMA), "merged")
+        rest = materialize(waiting.groupBy("part").applyInArrow(_round(level, capacity, last), _SCHEMA), "merged")
         moved = rest.select(F.col("id").alias("bin"), F.col("bin").alias("to"))
         result = result.join(moved, "bin", "left").select("id", "piece", "n_tokens", F.coalesce("to", "bin").alias("bin"))
     whole = pieces.where(F.col("n_tokens") == capacity).select("id", "piece", "n_tokens", F.concat(F.lit("whole-"), "id", F.lit("-"), "piece").alias("container"))
