@@ -106,7 +106,7 @@ def k_hop(starts: DataFrame, edges: DataFrame, max_hops: int, types: tuple[str,
 
 def concept_walk(names: DataFrame, mentions: DataFrame, units: DataFrame) -> DataFrame:
     """Units that mention one of the concepts, with the number of them."""
-    hits = mentions.join(F.broadcast(names.limit(10_000).select(F.col("name").alias("target_concept_name")).distinct()), "target_concept_name", "left_semi")
+    hits = mentions.join(names.select(F.col("name").alias("target_concept_name")).distinct(), "target_concept_name", "left_semi")
     hits = hits.groupBy(F.col("source_unit_id").alias("id")).agg(F.countDistinct("target_concept_name").alias("n_concepts"))
     return units.select("id", "parent_id", "content").join(hits, "id")
 

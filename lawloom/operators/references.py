@@ -31,7 +31,7 @@ def internal_references(units: DataFrame, scope: Column | None = None) -> DataFr
 
     own = F.col("id") if scope is None else F.expr("substring(id, length(scope) + 2)")
     base = F.nullif(F.regexp_extract(own, BASE, 1), F.lit(""))
-    every = "|".join(p.replace("(a-z", "(a-z") for p in (RANGE, PARAGRAPH, ARTICLE, RELATIVE))
+    every = "|".join((RANGE, PARAGRAPH, ARTICLE, RELATIVE))
     rows = units.select(F.col("id"), *([scope.alias("scope")] if scope is not None else []), F.explode(F.regexp_extract_all("content", F.lit(f"(?iU){every}"), F.lit(0))).alias("m"))
 
     def article(g: Column) -> Column:
