@@ -250,8 +250,9 @@ def similar(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, floor: f
     pairs = materialize(pairs, "pairs")
     involved = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
     bloom = bloom_filter(involved, "h1", "h2")
-    known = rows.where(bloom.might_contain(F.col("h1"), F.col("h2")))
-    members = materialize(known.select("key", "h1", "h2", "asks").distinct(), "members")
+    # one more pass over the vectors; what the filter lets through is far less than all
+    known = materialize(rows.where(bloom.might_contain(F.col("h1"), F.col("h2"))), "known")
+    members = known.select("key", "h1", "h2", "asks").distinct()
     vectors = materialize(known.select("h1", "h2", "v").dropDuplicates(["h1", "h2"]), "vectors")
     a = vectors.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("v").alias("va"))
     b = vectors.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("v").alias("vb"))
