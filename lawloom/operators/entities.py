@@ -22,10 +22,9 @@ def gazetteer_entities(units: DataFrame, gazetteer: DataFrame) -> DataFrame:
     listed = gazetteer.select(entity_text(F.col("phrase")).alias("surface_form"), F.col("label").alias("category_label")).where(F.col("surface_form").isNotNull()).distinct()
     words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     lengths = listed.select(F.collect_set(F.size(F.split("surface_form", " "))).alias("n"))
-    runs = F.flatten(
-        F.transform(F.coalesce(lengths.scalar(), F.array().cast("array<int>")), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.struct(i.alias("ord"), F.array_join(F.slice("w", i, n), " ").alias("s"))))
-    )
-    found = units.select("id", words.alias("w")).where(F.size("w") > 0).select("id", F.explode(runs).alias("r")).select(F.col("id").alias("source_unit_id"), F.col("r.s").alias("surface_form"), F.col("r.ord").cast("long").alias("ord"))
+    split = units.select("id", words.alias("w"), lengths.scalar().alias("lengths")).where((F.size("w") > 0) & (F.size("lengths") > 0))
+    runs = F.flatten(F.transform("lengths", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.struct(i.alias("ord"), F.array_join(F.slice("w", i, n), " ").alias("s")))))
+    found = split.select("id", F.explode(runs).alias("r")).select(F.col("id").alias("source_unit_id"), F.col("r.s").alias("surface_form"), F.col("r.ord").cast("long").alias("ord"))
     return found.join(listed, "surface_form").select("surface_form", "category_label", "source_unit_id", "ord").distinct()
 
 

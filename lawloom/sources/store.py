@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+def upserted(current: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``current`` with ``rows`` inserted or in place of those with their key; a key in ``rows`` must be there once."""
+    return current.join(rows.select(key), key, "left_anti").select(*current.columns).unionByName(rows, allowMissingColumns=True)
+
+
 class Store:
     """Tables below a root folder. A table's pointer file names its current snapshot; a write makes a new snapshot and
     moves the pointer last, so readers see the old one or the new one, and a failed write leaves the old."""
@@ -70,8 +75,7 @@ class Store:
         caller: reduce them first. The new snapshot is what is not replaced, and the new rows."""
         n = rows.count()
         if n:
-            kept = self.read(name).join(rows.select(key).distinct(), key, "left_anti") if self.exists(name) else None
-            self.publish(name, rows if kept is None else kept.unionByName(rows, allowMissingColumns=True))
+            self.publish(name, upserted(self.read(name), rows, key) if self.exists(name) else rows)
         return n
 
     def insert(self, name: str, row: DataFrame, key: str) -> None:
