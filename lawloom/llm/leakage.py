@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.llm.mojibake import _SUSPICIOUS, Corpus, corpus_model, restore
+from lawloom.llm.mojibake import Corpus, corpus_model, restore
 from lawloom.session import spread
 
 #: Consecutive words that make a leak.
@@ -148,9 +148,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
             for b in batches:
                 out: list[tuple[int, int, int]] = []
                 for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if _SUSPICIOUS.search(t):
-                        t = restore(t, corpus)[0]
-                    out += [(k, i, m) for i, m in index.leaks(t).items()]
+                    out += [(k, i, m) for i, m in index.leaks(restore(t, corpus)[0]).items()]
                 cols = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "item_key", "n_words"])
 

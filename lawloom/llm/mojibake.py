@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawloom.session import spread
@@ -89,10 +89,26 @@ _SWAPPED = "".join(sorted({c for t in _SINGLE for c in t}))
 _BEYOND = re.compile(r"[^\x00-\x7F]{2,}")
 _LOST_SIGN = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
 _plain = "".join(sorted(INVENTORY - set("ÂâĂº")))
-#: A text without a match is in order: every reading of a wrong decoding has a character outside the inventory, or one
-#: of a few inventory letters before a sign; lost characters show as such or as a question mark inside a word.
-SUSPICIOUS = rf"[^\x00-\x7F{_plain}ÂâĂº]|[ÂâĂ](?![\p{{L}}\s\x21-\x7E„”“’»–…]|$)|[ÂâĂ][º„”“’»–…§²°·«]|(?<![nN])º|\p{{L}}\?\p{{L}}"
-_SUSPICIOUS = re.compile(rf"[^\x00-\x7F{re.escape(_plain)}ÂâĂº]|[ÂâĂ](?![^\W\d_]|[\s\x21-\x7E„”“’»–…]|$)|[ÂâĂ][º„”“’»–…§²°·«]|(?<![nN])º|[^\W\d_]\?[^\W\d_]")
+#: A text is in order if none of these match: every reading of a wrong decoding has a character outside the inventory, or
+#: one of a few inventory letters before a sign; lost characters show as such or as a question mark inside a word. The
+#: first is for the text with its runs of ASCII cut to spaces, which leaves little to look at.
+_ODD = rf"[^\x00-\x7F{_plain}ÂâĂº]|[ÂâĂ][^\x00-\x7F„”“’»–…LETTER]|[ÂâĂ][º„”“’»–…§²°·«]"
+_ODD_JVM, _ODD_PY = _ODD.replace("LETTER", r"\p{L}"), re.compile(_ODD.replace("LETTER", LETTERS + LETTERS.upper()))
+_ASCII = re.compile(r"[\x00-\x7F]+")
+_MASCULINE = re.compile("(?<![nN])º")
+
+
+def _is_suspicious(text: str) -> bool:
+    if "?" in text and _LOST_SIGN.search(text):
+        return True
+    return not text.isascii() and ("º" in text and _MASCULINE.search(text) is not None or _ODD_PY.search(_ASCII.sub(" ", text)) is not None)
+
+
+def suspicious(text: Column) -> Column:
+    """Whether a text needs a closer look; null for null."""
+    odd = F.regexp_replace(text, r"[\x00-\x7F]+", " ").rlike(_ODD_JVM)
+    lost = F.contains(text, F.lit("?")) & text.rlike(r"\p{L}\?\p{L}")
+    return odd | lost | (F.contains(text, F.lit("º")) & text.rlike("(?<![nN])º"))
 
 
 @dataclass
@@ -231,7 +247,7 @@ def restore(text: str | None, corpus: Corpus) -> tuple[str | None, bool]:
     word frequencies and letter trigrams say so; lost characters inside words are filled in by Viterbi search. What no
     word speaks for stays as it is. None and the empty text are in order.
     """
-    if not text or not _SUSPICIOUS.search(text):
+    if not text or not _is_suspicious(text):
         return text, False
     fixed = _undo_multi(text)
     garbled = fixed != text
@@ -286,5 +302,5 @@ def restore_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
                     out.append(fixed)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["key", "restored"])
 
-    picked = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(SUSPICIOUS))
+    picked = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(suspicious(F.col("text")))
     return spread(picked).mapInArrow(run, "key long, restored string")
