@@ -57,7 +57,7 @@ class Reference:
         self.tree = BKTree(self.words)
         self.by_stem: dict[str, list[str]] = defaultdict(list)
         for w in self.words:
-            for s in {w, w[:-1] if w[-1] in "aeiu" and len(w) >= 5 else w}:
+            for s in {w, w[:-1] if w[-1] in "aeiu" and len(w) >= 4 else w}:
                 self.by_stem[s].append(w)
         self.stem_tree = BKTree(sorted(self.by_stem))
         self.prefixes: dict[str, list[str]] = defaultdict(list)

@@ -51,8 +51,8 @@ def brute(vectors, k, floor):
     s = x @ x.T
     np.fill_diagonal(s, -2)
     out = set()
-    for i in range(len(keys)):
-        for j in sorted(range(len(keys)), key=lambda j: (-round(s[i, j], 12), keys[j]))[:k]:
+    for i, row in enumerate(np.round(s, 12)):
+        for j in np.argsort(-row, kind="stable")[:k]:  # the keys are in order, so equal ones stay so
             if s[i, j] >= floor:
                 out.add((keys[i], keys[j]))
     return out
