@@ -46,7 +46,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s03_p01_p02_lines", """
-SELECT count(*) AS n_lines, sum(length(line)) AS n_chars, count(DISTINCT line) AS n_distinct FROM (
+SELECT count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, count(DISTINCT line) AS n_distinct FROM (
   SELECT translate(trim(l, chr(13) || chr(10) || ' '), 'şţŞŢ', 'șțȘȚ') AS line FROM (SELECT unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS l FROM documents)) WHERE length(line) > 0""")
 def lines(spark: SparkSession, d: str) -> DataFrame:
     t = split_lines(table(spark, d, "documents"), "doc_id", "text")
