@@ -37,7 +37,7 @@ def test_a_block_larger_than_its_hubs(spark, monkeypatch):
         ws = term.split()
         i = rng.randrange(3)
         k = rng.randrange(1, len(ws[i]))
-        ws[i] = ws[i][:k] + rng.choice("bcdfg") + ws[i][k:]
+        ws[i] = ws[i][:k] + rng.choice("bcdfghkmpqvwz") + ws[i][k:]
         forms.add(" ".join(ws))
     monkeypatch.setattr(density, "HUBS", 4)
     c = density.cluster_forms(spark.createDataFrame([(f,) for f in forms], "form string"), "form")
@@ -118,7 +118,8 @@ def test_best_fit_and_tree(spark):
     assert held.groupby("container").n_tokens.sum().max() <= 100 and packed.n_tokens.sum() == sum(r[1] or 0 for r in rows)
     assert sorted(packed[packed.key == 9000].n_tokens) == [50, 100, 100] and packed[packed.key == 9000].first_token.tolist() and len(packed) == len(rows) + 2
     assert set(packed[packed.container.isna()].key) == {9001, 9002}
-    assert held.container.nunique() <= -(-int(held.n_tokens.sum()) // 100) * 1.02 + 1
+    # seventeen tasks of 300 large items each: their rests are merged whole, which costs some 2 % against one task
+    assert held.container.nunique() <= -(-int(held.n_tokens.sum()) // 100) * 1.03 + 1
     half = packing.pack(spark.createDataFrame([(i, 51) for i in range(50)], "key long, n_tokens long"), 100)
     assert half.select("container").distinct().count() == 50
     assert packing.pack(df.limit(0), 100).count() == 0
