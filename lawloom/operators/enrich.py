@@ -14,7 +14,7 @@ from lawloom.schemas import SETTINGS, SPARSE
 
 #: Turns a series of texts into one of vectors; a model is loaded once a task.
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
-PROMPT = 'You are a Romanian legal expert. Ask exactly %d questions that a driver might ask and that this text answers. Respond only with JSON: {"questions": [...]}\n\nText: %s'
+PROMPT = 'Write %d questions that readers of this passage of an act might have and that it answers, as JSON with a list under "questions".\n\n%s'
 
 
 def hash_embedder(dim: int = SETTINGS.dimension) -> Embedder:
