@@ -46,6 +46,11 @@ def embed(df: DataFrame, text: str, out: str, embedder: Embedder) -> DataFrame:
     return df.withColumn(out, f(F.col(text)))
 
 
+def question_prompt(content: Column, n: int = SETTINGS.questions) -> Column:
+    """What a language model is asked for a text."""
+    return F.format_string(PROMPT, F.lit(n), content)
+
+
 def template_answer(content: Column) -> Column:
     """A stand-in for the language model: a JSON answer with questions on the first words of the text."""
     lead = F.array_join(F.slice(F.split(content, " "), 1, 6), " ")
@@ -59,11 +64,17 @@ def term_weights(docs: DataFrame, key: str, text: str, k1: float = SETTINGS.k1,
     return tf.select("key", "term", "tf", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("weight"))
 
 
-def inverse_frequencies(weights: DataFrame) -> DataFrame:
-    """``term, df, idf`` over the documents that have terms."""
-    n = weights.select(F.countDistinct("key").alias("n"))
+def documents_with_terms(docs: DataFrame, text: str) -> Column:
+    """The number of documents that have terms, as a scalar; cheaper than counting keys of the index."""
+    return docs.select(F.count(F.when(F.size(terms(F.col(text))) > 0, 1)).alias("n")).scalar()
+
+
+def inverse_frequencies(weights: DataFrame, n: Column | None = None) -> DataFrame:
+    """``term, df, idf`` over the documents that have terms, of which ``n`` is the number if it is known."""
+    if n is None:
+        n = weights.select(F.countDistinct("key").alias("n")).scalar()
     df = weights.groupBy("term").agg(F.count("*").alias("df"))
-    return df.select("term", "df", F.log(1 + (n.scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return df.select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def sparse_vectors(weights: DataFrame) -> DataFrame:

@@ -45,14 +45,18 @@ def dense_top(points: DataFrame, vector: list[float], k: int, key: str = "point_
     return _ranked(scored, k, key)
 
 
-def sparse_top(weights: DataFrame, text: str, k: int, key: str = "key") -> DataFrame:
+def sparse_top(weights: DataFrame, text: str, k: int, key: str = "key", n: Column | None = None) -> DataFrame:
     """``key, score, rank`` of the ``k`` documents with the largest BM25 score for the distinct terms of ``text``.
 
-    ``weights`` as from ``term_weights``: an inverted index, of which only the query's terms are read and summed.
+    ``weights`` as from ``term_weights``: an inverted index, of which only the query's terms are read and summed; ``n``
+    is the number of its documents, if known.
     """
-    idf = inverse_frequencies(weights)
-    wanted = weights.sparkSession.range(1).select(F.explode(F.array_distinct(terms(F.lit(text)))).alias("term"))
-    hits = weights.join(wanted, "term", "left_semi").join(idf.join(wanted, "term", "left_semi"), "term")
+    if n is None:
+        n = weights.select(F.countDistinct("key").alias("n")).scalar()
+    # a query has few terms: as a filter on the term they reach below the aggregation that counts them
+    wanted = weights.sparkSession.range(1).select(F.array_distinct(terms(F.lit(text))).alias("t")).first()["t"]
+    hits = weights.where(F.col("term").isin(wanted))
+    hits = hits.join(inverse_frequencies(hits, n), "term")
     return _ranked(hits.groupBy(key).agg(F.sum(F.col("weight") * F.col("idf")).alias("score")), k, key)
 
 

@@ -408,14 +408,14 @@ def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t03_m06_sparse_top", BM25_SQL + "SELECT doc_id, round(score, 6) AS score, rank FROM st")
 def sparse_top(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.sparse_top(_weights(spark, d), TEXT, 10).select(F.col("key").alias("doc_id"), _round(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return retrieval.sparse_top(_weights(spark, d), TEXT, 10, n=enrich.documents_with_terms(table(spark, d, "documents"), "text")).select(F.col("key").alias("doc_id"), _round(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("r02_j09_hybrid", BM25_SQL.replace("WITH d AS", f"WITH {DENSE_SQL}, d AS") + """, f AS (SELECT k, sum(1 / (rank - 1 + 2.0e0)) AS s FROM (SELECT vec_id AS k, rank FROM dt UNION ALL SELECT doc_id, rank FROM st) GROUP BY k)
 SELECT k AS doc_id, round(s, 6) AS fusion_score FROM f ORDER BY s DESC, k LIMIT 5""")
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
     dense = _dense(spark, d).select(F.col("vec_id").alias("key"), "rank")
-    fused = retrieval.fuse(dense, retrieval.sparse_top(_weights(spark, d), TEXT, 10))
+    fused = retrieval.fuse(dense, retrieval.sparse_top(_weights(spark, d), TEXT, 10, n=enrich.documents_with_terms(table(spark, d, "documents"), "text")))
     return fused.orderBy(F.desc("fusion_score"), "key").limit(5).select(F.col("key").alias("doc_id"), _round(F.col("fusion_score")).alias("fusion_score"))
 
 
