@@ -91,8 +91,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_neighbours")
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar vectors, at any cosine, of every embedding whose vec_id is divisible by 100, against all."""
-    e = table(spark, d, "embeddings")
-    near = similar.similar(e, "vec_id", "embedding", DIM, NEIGHBOURS, probes=16, per_cell=128, asks=F.col("vec_id") % 100 == 0)
+    near = similar.similar(table(spark, d, "embeddings"), "vec_id", "embedding", DIM, NEIGHBOURS, probes=None, asks=F.col("vec_id") % 100 == 0)
     return near.select(F.col("key").cast("long").alias("vec_id"), F.col("neighbour").cast("long").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "rank")
 
 

@@ -95,9 +95,23 @@ def _batch(cell, i, j, role, h1, h2, data) -> pa.RecordBatch:
     )
 
 
-def _deal(batches, model: Model, probes: int, everyone_asks: bool):
+def _round(x: np.ndarray) -> np.ndarray:
+    """Vectors as one signed byte a value, with the largest value."""
+    peak = np.abs(x).max(1)
+    small = np.round(x / peak[:, None] * 127).astype(np.int8)
+    return np.concatenate([small.view(np.uint8), peak.astype(np.float32).view(np.uint8).reshape(-1, 4)], 1)
+
+
+def _unround(packed: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of their bytes, and how far each can be from its unit vector."""
+    peak = np.ascontiguousarray(packed[:, dim:]).view(np.float32)
+    return packed[:, :dim].view(np.int8).astype(np.float32) * (peak / 127), peak[:, 0] * np.float32(0.5 / 127 * np.sqrt(dim) * 1.001)
+
+
+def _deal(batches, model: Model, probes: int, everyone_asks: bool, coded: bool):
     """Rows for the cells: each distinct vector once as a member of its own cell, and as a visitor of the nearest ones."""
     seen: set[tuple[int, int]] = set()
+    visited: set[tuple[int, int]] = set()
     for b in batches:
         x, at = _matrix(b.column("v"), model.dim)
         h1, h2 = (b.column(n).to_numpy()[at] for n in ("h1", "h2"))
@@ -118,22 +132,25 @@ def _deal(batches, model: Model, probes: int, everyone_asks: bool):
             c = home[again][u]
             k1, k2 = h1[again][u], h2[again][u]
             yield _batch(c, k1 % model.member_slices[c], k2 % model.visitor_slices[c], COPY, k1, k2, _binary(np.zeros((len(c), 1), np.uint8)))
-        x, home, top = x[new], home[new], top[new]
-        k1, k2, asks = h1[new], h2[new], asks[new]
-        if not len(x):
-            continue
-        peak = np.abs(x).max(1)
-        small = np.round(x / peak[:, None] * 127).astype(np.int8)
-        packed = np.concatenate([small.view(np.uint8), peak.astype(np.float32).view(np.uint8).reshape(-1, 4)], 1)
-        turns = model.visitor_slices[home]
-        r = np.repeat(np.arange(len(x)), turns)
-        j = np.arange(len(r)) - np.repeat(np.cumsum(turns) - turns, turns)
-        yield _batch(home[r], k1[r] % model.member_slices[home[r]], j, HOME, k1[r], k2[r], _binary(packed[r]))
+        if new.any():
+            home, k1, k2, packed = home[new], h1[new], h2[new], _round(x[new])
+            turns = model.visitor_slices[home]
+            r = np.repeat(np.arange(len(home)), turns)
+            j = np.arange(len(r)) - np.repeat(np.cumsum(turns) - turns, turns)
+            yield _batch(home[r], k1[r] % model.member_slices[home[r]], j, HOME, k1[r], k2[r], _binary(packed[r]))
+        # of copies the one that asks need not be the first
+        if everyone_asks:
+            asks = new
+        else:
+            asks &= np.array([not a or not (k in visited or visited.add(k)) for a, k in zip(asks.tolist(), zip(h1.tolist(), h2.tolist(), strict=True), strict=True)], bool)
         if not asks.any():
             continue
-        x, top, k1, k2 = x[asks], top[asks], k1[asks], k2[asks]
-        codes, scalars = encode(x, model.rotation)
-        packed = np.concatenate([codes, scalars.view(np.uint8).reshape(-1, 4)], 1)
+        x, top, k1, k2 = x[asks], top[asks], h1[asks], h2[asks]
+        if coded:
+            codes, scalars = encode(x, model.rotation)
+            packed = np.concatenate([codes, scalars.view(np.uint8).reshape(-1, 4)], 1)
+        else:
+            packed = _round(x)
         r = np.repeat(np.arange(len(x)), p)
         c = top.ravel()
         turns = model.member_slices[c]
@@ -155,21 +172,26 @@ def _unpack(t: pa.Table, role: int, width: int) -> tuple[np.ndarray, np.ndarray,
 def _meet(t: pa.Table, model: Model, floor: float, k: int, symmetric: bool) -> pa.Table:
     """Pairs of a slice whose inner product may be at least ``floor`` and among the visitor's ``k`` largest here."""
     members, packed, copied = _unpack(t, HOME, model.dim + 4)
-    visitors, coded, _ = _unpack(t, VISITOR, BITS // 8 + 4)
+    visitors, coded, _ = _unpack(t, VISITOR, BITS // 8 + 4 if floor > -1 else model.dim + 4)
     marked, _, _ = _unpack(t, COPY, 1)
     out = [np.concatenate([m, m], 1) for m in (copied, marked) if len(m)]
     if len(members) and len(visitors):
-        peak = np.ascontiguousarray(packed[:, model.dim :]).view(np.float32)
-        y = packed[:, : model.dim].view(np.int8).astype(np.float32) * (peak / 127)
-        codes, scalars = coded[:, : BITS // 8], np.ascontiguousarray(coded[:, BITS // 8 :]).view(np.float32)[:, 0]
+        y, off = _unround(packed, model.dim)
+        if floor > -1:
+            codes, scalars = coded[:, : BITS // 8], np.ascontiguousarray(coded[:, BITS // 8 :]).view(np.float32)[:, 0]
+        else:
+            asked, asked_off = _unround(coded, model.dim)
         for a in range(0, len(visitors), 512):
-            est, err = estimate(codes[a : a + 512], scalars[a : a + 512], y, model.rotation)
-            limit = np.full(len(est), floor, np.float32)
-            if floor <= -1:
-                # without a floor: what may still be larger than the k-th largest lower bound (one more for itself)
+            if floor > -1:
+                est, err = estimate(codes[a : a + 512], scalars[a : a + 512], y, model.rotation)
+                v, m = np.nonzero(est + err[:, None] >= floor)
+            else:
+                # what may still be larger than the k-th largest lower bound (one more for itself)
+                est = asked[a : a + 512] @ y.T
+                err = asked_off[a : a + 512, None] + off * (1 + asked_off[a : a + 512, None]) + np.float32(1e-5)
                 n = min(k + 1, est.shape[1])
-                limit = -np.partition(-est, n - 1, axis=1)[:, n - 1] - err
-            v, m = np.nonzero(est + err[:, None] >= limit[:, None])
+                limit = -np.partition(err - est, n - 1, axis=1)[:, n - 1]
+                v, m = np.nonzero(est + err >= limit[:, None])
             p = np.concatenate([visitors[a + v], members[m]], 1)
             p = p[(p[:, :2] != p[:, 2:]).any(1)]
             if symmetric and len(p):
@@ -191,6 +213,13 @@ def _cosines(batches, dim: int, floor: float):
         yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in ("a1", "a2", "b1", "b2")], pa.array(cos[kept])], names=["a1", "a2", "b1", "b2", "cos"])
 
 
+def one_cell(vectors: DataFrame, dim: int) -> Model:
+    """One cell for all vectors, in slices: every one that asks meets every member."""
+    n, asks = vectors.agg(F.count("*"), F.count_if("asks")).first()
+    slices = [np.array([max(1, -(-x // most))], np.int32) for x, most in ((n, MAX_MEMBERS), (asks, MAX_VISITORS))]
+    return Model(np.eye(1, dim, dtype=np.float32), rotation(dim), *slices)
+
+
 def fit(vectors: DataFrame, dim: int, probes: int, per_cell: int = PER_CELL, rounds: int = 6) -> Model:
     """Spherical k-means on a sample of at most ``MAX_SAMPLE`` vectors, chosen by hash; every vector is indexed later.
 
@@ -220,7 +249,7 @@ def fit(vectors: DataFrame, dim: int, probes: int, per_cell: int = PER_CELL, rou
     return Model(centres.astype(np.float32), rotation(dim), np.maximum(1, np.ceil(held / MAX_MEMBERS)).astype(np.int32), np.maximum(1, np.ceil(ask / MAX_VISITORS)).astype(np.int32))
 
 
-def similar(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, floor: float = -1.0, probes: int = 3, per_cell: int = PER_CELL, asks: Column | None = None) -> DataFrame:
+def similar(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, floor: float = -1.0, probes: int | None = 3, per_cell: int = PER_CELL, asks: Column | None = None) -> DataFrame:
     """``key, neighbour, cosine, rank``: for each vector its ``k`` most similar others with a cosine of at least ``floor``.
 
     Every vector is a member of the cell of its nearest centre, and visits the cells of its ``probes`` nearest centres
@@ -228,11 +257,15 @@ def similar(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, floor: f
     of the inner products with the members and a bound of its error; only pairs that the bound can't rule out are
     checked with the exact vectors. With ``asks`` (a condition on ``df``) only those rows ask, against all.
 
+    Without a floor the codes rule out little, so visitors go as rounded vectors, whose inner products have a bound that
+    always holds. With ``probes=None`` nothing is left to cells: every row that asks meets every vector, slice by slice.
+    The neighbours without a floor are then exact; the work is the number of those that ask times that of all.
+
     Copies: a vector that several keys share is indexed once; its keys are found from it at the end, and of many copies
     the smallest keys are the neighbours. A task drops repeats before the shuffle, so a group of copies that holds much
     of the table sends one row a task. A large cell is split into slices of members and of visitors.
 
-    The result is approximate: a neighbour can be missed if none of the two visits the other's cell, or, rarely, if the
+    Else the result is approximate: a neighbour can be missed if none of the two visits the other's cell, or, rarely, if the
     error of an estimate exceeds the bound.
 
     Defined cases: a vector that is null, all zero, not of ``dim`` values, or with a null, NaN or infinite value has no
@@ -242,10 +275,10 @@ def similar(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, floor: f
     vec = F.col(vector)
     fits = df.where(F.col(key).isNotNull() & (F.size(vec) == dim))
     rows = fits.select(F.col(key).cast("string").alias("key"), vec.alias("v"), F.xxhash64(vec).alias("h1"), F.xxhash64(F.lit(1), vec).alias("h2"), (asks if asks is not None else F.lit(True)).alias("asks"))
-    model = fit(rows, dim, probes, per_cell)
+    model = one_cell(rows, dim) if probes is None else fit(rows, dim, probes, per_cell)
     shared = spark.sparkContext.broadcast(model)
     everyone = asks is None
-    dealt = rows.select("h1", "h2", "v", "asks").mapInArrow(lambda bs: _deal(bs, shared.value, probes, everyone), "cell int, i int, j int, role int, h1 long, h2 long, data binary")
+    dealt = rows.select("h1", "h2", "v", "asks").mapInArrow(lambda bs: _deal(bs, shared.value, probes or 1, everyone, floor > -1), "cell int, i int, j int, role int, h1 long, h2 long, data binary")
     pairs = dealt.groupBy("cell", "i", "j").applyInArrow(lambda t: _meet(t, shared.value, floor, k, everyone), _PAIRS).distinct()
     pairs = materialize(pairs, "pairs")
     involved = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()

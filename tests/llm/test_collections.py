@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lawloom.llm import density, leakage, packing, similar
+from lawloom.llm import queries as llm_queries
 
 TERMS = [("senzor de pevivastrand jarbend", ["Senzor De Pevivastrand Jarbend", "senzzor de pevivastrand jarbend", "snezor de pvivastrand jarbend", "senzor ed pevivastrand jarbend", "senzor de peviv. jarbend", "27. senzor de pevivastrand jarbend",
           "jarbend, senzor pevivastrand", "senzor_de_pevivastrand_jarbend", "senzorului de pevivastrand jarbend", "senzorpevivastrand jarbend", "sеnzоr de pevivastrand jarbend"]),
@@ -98,6 +99,20 @@ def test_top_k_at_any_cosine(spark):
     assert len(got & want) >= 0.9 * len(want) and {k for k, _ in got} == {k for k, _ in want}
 
 
+def test_neighbours_of_few_are_exact_at_any_size(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 64)).astype(np.float32)
+    x[101] = x[200]  # a copy that doesn't ask comes first
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").coalesce(1).sortWithinPartitions(F.col("vec_id") != 101)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.vec_id, r.neighbour_id) for r in llm_queries.QUERIES["p4_neighbours"](spark, str(tmp_path)).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u[::100] @ u.T, 12)
+    s[np.arange(200), np.arange(200) * 100] = -2
+    want = {(100 * i, int(j)) for i, row in enumerate(s) for j in np.argsort(-row, kind="stable")[:5]}
+    assert got == want
+
+
 def test_many_copies_of_a_vector(spark):
     rng = np.random.default_rng(2)
     v = [float(x) for x in rng.standard_normal(64)]
