@@ -87,9 +87,9 @@ class Index:
         kept = alive[at // BLOCK]
         return np.flatnonzero(np.bincount(at[kept], weight[kept], self.size) >= threshold).tolist()
 
-    def passages(self, coded: Sequence[int]) -> Iterable[Sequence[int]]:
-        """The passages of a document (its words by number, -1 for those of no item) that can hold a run: they lie
-        between words that no item has, so nothing longer does."""
+    def passages(self, coded: Sequence[int]) -> Iterable[tuple[int, Sequence[int]]]:
+        """The passages of a document (its words by number, -1 for those of no item) that can hold a run, with their
+        places: they lie between words that no item has, so nothing longer does. Each run of ``least`` words is in one."""
         codes = np.fromiter(coded, np.int32, len(coded))
         known = np.concatenate([[False], codes >= 0, [False]])
         edges = np.flatnonzero(known[1:] != known[:-1])
@@ -98,22 +98,29 @@ class Index:
         for a, b in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
             step = PASSAGE - self.least + 1
             for i in range(a, max(a + 1, b - self.least + 1), step):
-                yield coded[i : min(b, i + PASSAGE)]
+                yield i, coded[i : min(b, i + PASSAGE)]
 
     def leaks(self, text: str) -> dict[int, int]:
-        """Items of which the text holds a run, with the most consecutive words that a passage of it has."""
+        """Items of which the text holds a run, with the most consecutive words of it; a run goes on from one passage to
+        the next."""
         get = self.vocabulary.get
         coded = [get(w, -1) for w in words(text)]
         found: dict[int, int] = {}
         if len(coded) < self.least:
             return found
-        for passage in self.passages(coded):
+        ended, going = -1, {}  # where the next window would start, and the windows of each item's run up to there
+        for start, passage in self.passages(coded):
             windows = [tuple(passage[i : i + self.least]) for i in range(len(passage) - self.least + 1)]
+            before, going = going if start == ended else {}, {}
+            ended = start + len(windows)
             for at in self.search(passage):
-                most = run = 0
+                run = before.get(at, 0)
+                most = 0
                 for w in windows:
                     run = run + 1 if w in self.runs[at] else 0
                     most = max(most, run)
+                if run:
+                    going[at] = run
                 if most:
                     found[self.ids[at]] = max(found.get(self.ids[at], 0), most + self.least - 1)
         return found
@@ -125,7 +132,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     Wrongly decoded documents are restored first. Every passage of every document that consists of words of the items is
     a query to a BM25 index of the items, from which a block-max WAND retrieves all above their thresholds; each is then
     verified word by word. The index goes to the tasks whole if there are at most ``shard`` items, else in shards.
-    ``n_words`` is about the longest run found in one passage, at least ``least``.
+    ``n_words`` is the longest run of words whose every ``least`` are consecutive in the item.
 
     Defined cases: null and short texts hold nothing; an item of fewer than ``least`` words can't leak; case, accents,
     punctuation, spacing and line breaks don't count; repeated documents with one key give one row.

@@ -157,6 +157,15 @@ def test_a_run_of_words_leaks(n, leaks):
     assert index.leaks("") == {} and index.leaks("x " * 20_000) == {}
 
 
+@pytest.mark.parametrize("before,n", [(0, 200), (70, 60), (80, 20), (5, 97)])
+def test_a_run_goes_on_from_passage_to_passage(before, n):
+    index = leakage.Index([(1, " ".join(f"w{i}" for i in range(n))), (2, " ".join(f"x{i}" for i in range(90)))])
+    lead = [f"x{i}" for i in range(before)]
+    assert index.leaks(" ".join([*lead, *(f"w{i}" for i in range(n)), *lead]))[1] == n
+    cut = [*lead, *(f"w{i}" for i in range(n) if i != 15)]
+    assert index.leaks(" ".join(cut))[1] == max(15, n - 16)
+
+
 def test_search_equals_brute_force():
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(60)]
