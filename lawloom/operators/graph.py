@@ -112,8 +112,19 @@ def concept_walk(names: DataFrame, mentions: DataFrame, units: DataFrame) -> Dat
 
 
 def cascade(units: DataFrame, removed: DataFrame) -> DataFrame:
-    """Ids that go when ``removed`` ids go: they and all below them."""
-    from lawloom.operators.hierarchy import resolve
+    """Ids that go when ``removed`` ids go: they and all below them, over every parent link, on and below circles too.
 
-    below = resolve(units).descendants().join(removed.select(F.col("id").alias("ancestor_id")).distinct(), "ancestor_id", "left_semi").select(F.col("descendant_id").alias("id"))
-    return removed.select("id").intersect(units.select("id")).union(below).distinct()
+    By doubling: after n rounds a link leads 2^n parents up, and gone is what has a removed one less than 2^n above it.
+    A round that adds nothing is the last, as whatever is still to come would have a node half way that it adds.
+    """
+    ups = units.select("id", F.col("parent_id").alias("up")).where(F.col("id").isNotNull() & F.col("up").isNotNull()).distinct()
+    gone = materialize(removed.select("id").intersect(units.select("id")).where(F.col("id").isNotNull()), "gone")
+    before, n = 0, gone.count()
+    while n > before:
+        below = ups.join(gone.select(F.col("id").alias("up")), "up", "left_semi").select("id")
+        gone = materialize(gone.union(below).distinct(), "gone")
+        before, n = n, gone.count()
+        if n > before:
+            ahead = ups.select(F.col("id").alias("up"), F.col("up").alias("next"))
+            ups = materialize(ups.join(ahead, "up").select("id", F.col("next").alias("up")).distinct(), "ups")
+    return gone

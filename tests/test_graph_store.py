@@ -66,6 +66,14 @@ def test_k_hop_and_cascade(spark):
     assert rows(graph.cascade(u, spark.createDataFrame([("x",), ("q",)], "id string"))) == [("x",), ("y",)]
 
 
+def test_cascade_on_and_below_circles(spark):
+    links = [("r", None), ("x", "r"), ("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("s", "s"), ("t", "s"), ("m", "r"), ("m", "d"), *((f"n{i:02d}", f"n{i - 1:02d}" if i else "d") for i in range(21))]
+    u = spark.createDataFrame(links, "id string, parent_id string")
+    chain = [(f"n{i:02d}",) for i in range(21)]
+    for removed, want in (("a", [("a",), ("b",), ("c",), ("d",), ("m",), *chain]), ("d", [("d",), ("m",), *chain]), ("n00", chain), ("s", [("s",), ("t",)]), ("x", [("x",)]), ("q", [])):
+        assert rows(graph.cascade(u, spark.createDataFrame([(removed,)], "id string"))) == sorted(want)
+
+
 def test_dominant_category(spark):
     raw = [("amenda", "S", "u1", 1), ("amenzii", "S", "u2", 2), ("amenda", "O", "u3", 3), ("amenda", "O", "u3", 4), ("viteza", None, "u4", 5), ("tie", "b", "u", 6), ("tie", "a", "u", 7)]
     df = spark.createDataFrame(raw, "surface_form string, category_label string, source_unit_id string, ord long")
