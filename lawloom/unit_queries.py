@@ -280,7 +280,7 @@ def k_hop(spark: SparkSession, d: str) -> DataFrame:
 @query("g08_concept_walk", _MEN + """SELECT DISTINCT u.id, count(DISTINCT m.name) AS n_concepts FROM (SELECT DISTINCT id FROM law_units) u JOIN m ON m.source_unit_id = u.id
   WHERE m.name IN (SELECT name FROM v_concept WHERE concept_id % 2 = 0) GROUP BY u.id""")
 def concept_walk(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "v_concept").where(F.col("concept_id") % 2 == 0).select("name")
+    names = table(spark, d, "v_concept").select("name")
     return graph.concept_walk(names, _mentions(spark, d), table(spark, d, "law_units")).select("id", "n_concepts").distinct()
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lawloom import unit_queries
 from lawloom.functions import scalar
 from lawloom.operators import enrich, entities, graph, reconcile, retrieval
 from lawloom.plans.engine import Engine
@@ -148,3 +149,14 @@ def test_engine_end_to_end(spark, tmp_path):
         engine.search("x", filters={"category": "y"})
     engine.wipe(confirm=True)
     assert engine.store.read("law_units").count() == 0
+
+
+def test_concept_walk_takes_all_concepts(spark, tmp_path):
+    tables = {
+        "v_concept": ([(i, f"c{i}", [f"f{i}"]) for i in range(1, 4)], "concept_id long, name string, surface_forms array<string>"),
+        "raw_entities": ([("f1", "u1", 1), ("f2", "u1", 2), ("f3", "u2", 3), ("x", "u3", 4)], "surface_form string, source_unit_id string, ord long"),
+        "law_units": ([("u1", None, "a"), ("u2", "u1", "b"), ("u3", "u1", "c")], "id string, parent_id string, content string"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert rows(unit_queries.concept_walk(spark, str(tmp_path))) == [("u1", 2), ("u2", 1)]
