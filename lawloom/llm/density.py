@@ -17,7 +17,7 @@ from lawloom.llm.bktree import distances, encode
 from lawloom.llm.canonical import ENDINGS, allowed, tokens
 from lawloom.session import materialize, spread
 
-#: Members of a block that all others of it are compared with in one round.
+#: Members of a slice of a block; a larger block is compared slice by slice.
 HUBS = 32
 #: Lengths of the beginnings that an abbreviation can have.
 ABBREVIATED = range(3, 8)
@@ -196,9 +196,9 @@ class Clusters:
 def _neighbours(reps: DataFrame) -> DataFrame:
     """``a, b, cost`` of neighbouring spellings, each pair once.
 
-    Within a block everyone is compared with its most frequent ``HUBS`` members, never all with all. In a block larger
-    than that, who has found no neighbour among them goes on to a further round without them, till none is left. An
-    abbreviated form is compared with the full forms that answer to it.
+    Within a block all are compared with all. A block of more than ``HUBS`` members is cut into slices, and every two of
+    them meet under a key of their own, so no task gets a large block whole. An abbreviated form is compared with the
+    full forms that answer to it.
     """
     schema = "block long, id long, forms long"
     lookup = reps.select("id", "spelling")
@@ -206,27 +206,17 @@ def _neighbours(reps: DataFrame) -> DataFrame:
     asks = reps.where(short).mapInArrow(lambda bs: _keys(bs, asked_keys), schema).select("block", F.col("id").alias("a"))
     answers = reps.mapInArrow(lambda bs: _keys(bs, answered_keys), schema).select("block", "id")
     extra = asks.join(answers, "block").where(F.col("a") != F.col("id")).select("a", "id")
-    todo, found = reps, None
-    while True:
-        block = W.partitionBy("block")
-        ranked = todo.mapInArrow(lambda bs: _keys(bs, block_keys), schema)
-        ranked = ranked.withColumn("rank", F.row_number().over(block.orderBy(F.desc("forms"), "id"))).withColumn("n", F.count("*").over(block)).where("n > 1")
-        ranked = materialize(ranked.drop("forms"), "blocks")
-        hubs = ranked.where(F.col("rank") <= HUBS).select("block", F.col("id").alias("a"), F.col("rank").alias("hub"))
-        pairs = ranked.join(hubs, "block").where(F.col("hub") < F.col("rank")).select("a", "id")
-        if extra is not None:
-            pairs, extra = pairs.unionByName(extra), None
-        pairs = pairs.select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y")).distinct()
-        pairs = pairs.join(lookup.select(F.col("id").alias("x"), F.col("spelling").alias("sa")), "x").join(lookup.select(F.col("id").alias("y"), F.col("spelling").alias("sb")), "y")
-        near = spread(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "sa", "sb"), "a").mapInArrow(_verify, "a long, b long, cost double")
-        near = materialize(near, "near")
-        found = near if found is None else found.unionByName(near)
-        large = ranked.where((F.col("n") > HUBS) & (F.col("rank") > HUBS)).select("id").distinct()
-        settled = near.select(F.col("a").alias("id")).union(near.select("b"))
-        left = materialize(large.join(settled, "id", "left_anti"), "left")
-        if not left.count():
-            return found.distinct()
-        todo = todo.join(left, "id", "left_semi")
+    block = W.partitionBy("block")
+    ranked = reps.mapInArrow(lambda bs: _keys(bs, block_keys), schema)
+    ranked = ranked.withColumn("rank", F.row_number().over(block.orderBy(F.desc("forms"), "id"))).withColumn("n", F.count("*").over(block)).where("n > 1")
+    ranked = materialize(ranked.drop("forms"), "blocks")
+    own, last = F.floor((F.col("rank") - 1) / HUBS), F.floor((F.col("n") - 1) / HUBS)
+    first = ranked.select("block", own.alias("i"), F.explode(F.sequence(own, last)).alias("j"), F.col("id").alias("a"), F.col("rank").alias("rank_a"))
+    second = ranked.select("block", F.explode(F.sequence(F.lit(0).cast("long"), own)).alias("i"), own.alias("j"), "id", "rank")
+    pairs = first.join(second, ["block", "i", "j"]).where(F.col("rank_a") < F.col("rank")).select("a", "id").unionByName(extra)
+    pairs = pairs.select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y")).distinct()
+    pairs = pairs.join(lookup.select(F.col("id").alias("x"), F.col("spelling").alias("sa")), "x").join(lookup.select(F.col("id").alias("y"), F.col("spelling").alias("sb")), "y")
+    return spread(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "sa", "sb"), "a").mapInArrow(_verify, "a long, b long, cost double")
 
 
 def cluster_forms(pool: DataFrame, form: str) -> Clusters:

@@ -45,6 +45,24 @@ def test_a_block_larger_than_its_hubs(spark, monkeypatch):
     assert c.members.select("cluster").distinct().count() == 1 and c.pairs().count() == 120 * 119 // 2
 
 
+def test_neighbours_do_not_depend_on_the_size_of_a_slice(spark, monkeypatch):
+    rng = random.Random(8)
+    spellings = set()
+    while len(spellings) < 60:
+        ws = ["alt", "tip", *rng.choice([["jarbend", "senzor"], ["molugor", "radar"], ["lumireg", "aparat"]])]
+        i = rng.randrange(2, 4)
+        k = rng.randrange(1, len(ws[i]))
+        ws[i] = ws[i][:k] + rng.choice("bcdfghkmpqvwz") + ws[i][k:]
+        spellings.add(" ".join(sorted(ws)))
+    named = sorted(spellings)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if density.form_costs([(named[i], named[j])])[0] <= density.CUTOFF}
+    df = spark.createDataFrame([(i, s, 1) for i, s in enumerate(named)], "id long, spelling string, forms long")
+    for size in (4, 1000):
+        monkeypatch.setattr(density, "HUBS", size)
+        got = [(r.a, r.b) for r in density._neighbours(df).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def brute(vectors, k, floor):
     keys = sorted(vectors)
     x = np.stack([vectors[q] for q in keys]).astype(np.float64)
