@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.session import materialize
+from lawloom.session import discard, materialize
 
 SEPARATOR = "/"
 
@@ -44,8 +44,8 @@ def resolve(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", or
     A root is a node whose parent is null or has no row. Each round joins the nodes still unreached with the frontier
     of the last level, which extends ancestors, depth and root. After ``wide_levels`` levels few nodes are left, on long
     thin chains: they are resolved by doubling, each round joining the rest with itself, so a chain of n levels takes
-    log2(n) jobs, not n. What no round reaches lies on or below a cycle. Every round's result is a table in the shared
-    folder, so no lineage grows.
+    log2(n) jobs, not n. Doubling runs on ids first, which tells nodes on and below cycles, whose chains never end; only
+    the others get segments of ancestors. Every round's result is a table in the shared folder, so no lineage grows.
 
     Defined cases: rows with a null id are left out; of several rows of one id the one greatest by ``order_col`` holds
     (then the greatest parent); a node that is its own parent is a cycle of one; an empty table gives empty results;
@@ -74,25 +74,56 @@ def resolve(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id", or
     every = _union(parts)
     if reached == total:
         return Hierarchy(every, linked.limit(0))
-    segment = [F.array("id").alias("segment")] if paths else []
-    rest = linked.join(every.select("id"), "id", "left_anti").select("id", "parent_id", F.col("parent_id").alias("jump"), F.lit(1).alias("hops"), F.lit(False).alias("ended"), *segment)
-    rest = materialize(rest, "rest")
-    before = -1
+    rest = linked.join(every.select("id"), "id", "left_anti")
+    rest, endless = _split_endless(materialize(rest, "rest"))
+    return Hierarchy(every.unionByName(_deep(rest, every, paths)), endless)
+
+
+def _split_endless(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose chain leaves ``rest``, with the place where it does and the links up to it, and all others.
+
+    Pointer doubling on ids alone. After n rounds every chain of at most 2^n links has ended; a chain of more passes a
+    node that this round has ended, so a round that ends none was the last, and what is left runs in circles.
+    """
+    state = rest.select("id", "parent_id", F.col("parent_id").alias("jump"), F.lit(1).alias("hops"), F.lit(False).alias("ended"))
+    before, past = -1, None
     while True:
-        ahead = rest.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("hops").alias("hops2"), F.col("ended").alias("ended2"), *([F.col("segment").alias("segment2")] if paths else []))
-        longer = [F.when(F.col("jump2").isNull(), F.col("segment")).otherwise(F.concat("segment2", "segment")).alias("segment")] if paths else []
-        rest = rest.join(ahead, "jump", "left").select(
-            "id", "parent_id", F.coalesce("jump2", "jump").alias("jump"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), (F.col("jump2").isNull() | F.col("ended2")).alias("ended"), *longer
+        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("hops").alias("hops2"), F.col("ended").alias("ended2"))
+        state = state.join(ahead, "jump", "left").select(
+            "id", "parent_id", F.coalesce("jump2", "jump").alias("jump"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), (F.col("jump2").isNull() | F.col("ended2")).alias("ended")
         )
-        rest = materialize(rest, "rest")
-        ended = rest.where("ended").count()
+        old, state = past, materialize(state, "ends")
+        past = state
+        if old is not None:
+            discard(old)
+        ended = state.where("ended").count()
         if ended == before:
-            break
+            return state.where("ended").drop("ended"), state.where(~F.col("ended")).select("id", "parent_id")
         before = ended
-    path = [F.concat("ancestors", "segment").alias("ancestors")] if paths else []
-    deep = rest.where("ended").join(_up(every).withColumnRenamed("parent_id", "jump"), "jump")
-    deep = deep.select("id", "parent_id", (F.col("up_depth") + F.col("hops")).alias("depth"), "root", *path)
-    return Hierarchy(every.unionByName(deep), rest.where(~F.col("ended")).select("id", "parent_id"))
+
+
+def _deep(rest: DataFrame, above: DataFrame, paths: bool) -> DataFrame:
+    """The nodes of ``rest``, none of which is on or below a circle, with depth, root and ancestors.
+
+    Ancestors are put together by doubling, too: a segment ends below the node that ``jump`` names, and never holds more
+    ids than there are between the node and the end of its chain.
+    """
+    top = _up(above).withColumnRenamed("parent_id", "end")
+    found = rest.select("id", "parent_id", F.col("jump").alias("end"), "hops").join(top, "end")
+    found = found.select("id", "parent_id", (F.col("up_depth") + F.col("hops")).alias("depth"), "root", *(["ancestors"] if paths else []))
+    if not paths:
+        return found
+    state = rest.select("id", F.col("parent_id").alias("jump"), F.array("id").alias("segment"), "hops")
+    longest = rest.agg(F.max("hops")).first()[0] or 0
+    reach = 1
+    while reach < longest:
+        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("segment").alias("segment2"))
+        # a segment as long as its chain is whole: only the others are joined
+        open_, whole = state.where(F.col("hops") > reach), state.where(F.col("hops") <= reach)
+        grown = open_.join(ahead, "jump").select("id", F.col("jump2").alias("jump"), F.concat("segment2", "segment").alias("segment"), "hops")
+        state = materialize(whole.unionByName(grown), "segments")
+        reach *= 2
+    return found.join(state.select("id", "segment"), "id").select("id", "parent_id", "depth", "root", F.concat("ancestors", "segment").alias("ancestors"))
 
 
 def _up(level: DataFrame) -> DataFrame:
@@ -110,22 +141,22 @@ def _cycles(unreached: DataFrame) -> DataFrame:
     """Pointer doubling over nodes that each have their parent among them.
 
     After n doublings a node points 2^n links up. The set of nodes pointed to shrinks to the circles; once a doubling
-    leaves its size unchanged, the jump permutes it, so it is the circles. The smallest id seen on the way is doubled
-    along; when a doubling changes none on the circles, each holds the smallest of its circle.
+    leaves its size unchanged, the jump permutes it, so it is the circles. The smallest id within 2^n links is doubled
+    along. When a doubling changes it for no node of a circle, it is equal for all nodes that jumps lead to from one, and
+    what they looked at covers the circle; so it is the smallest of the circle.
     """
-    state = unreached.select("id", F.col("parent_id").alias("jump"), F.col("id").alias("low"))
+    state = unreached.select("id", F.col("parent_id").alias("jump"), F.col("id").alias("low"), F.lit(True).alias("changed"))
     before = None
     while True:
-        # one pass: images, and a digest of the minima there
         images = state.select(F.col("jump").alias("id")).distinct()
         on = state.join(images, "id", "left_semi")
-        now = on.agg(F.count("*"), F.sum(F.crc32(F.concat_ws("|", "id", "low").cast("binary")))).first()
-        if not now[0] or now == before:
+        size, changed = on.agg(F.count("*"), F.count_if("changed")).first()
+        if not size or size == before and not changed:
             circle = on.select("id", "low")
             break
-        before = now
+        before = size
         ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("low").alias("next_low"))
-        state = materialize(state.join(ahead, "jump").select("id", F.col("next").alias("jump"), F.least("low", "next_low").alias("low")), "cycle")
+        state = materialize(state.join(ahead, "jump").select("id", F.col("next").alias("jump"), F.least("low", "next_low").alias("low"), (F.col("next_low") < F.col("low")).alias("changed")), "cycle")
     keyed = circle.select(F.col("id").alias("jump"), F.col("low").alias("cycle_key"))
     flags = circle.select("id", F.lit("on").alias("kind"))
     return state.join(keyed, "jump").join(flags, "id", "left").select("id", "cycle_key", F.coalesce("kind", F.lit("below")).alias("kind"))

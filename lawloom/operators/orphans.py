@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawloom.session import materialize
 
-#: Upper bound of a Bloom filter that is sent to every executor: 2^26 bits are 8 MB. Beyond it the filter only lets
-#: more references through to the exact join; the result is the same.
+#: Upper bound of a Bloom filter that is sent to every executor: 2^26 bits are 8 MB. More keys than it holds are cut
+#: into parts by a hash, each with a filter of its own, of which one at a time is sent.
 MAX_BITS = 1 << 26
-HASHES = 4
+HASHES, BITS_PER_KEY = 4, 12
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,7 @@ def bloom_filter(df: DataFrame, *key: str, max_bits: int = MAX_BITS) -> Bloom:
     spark = df.sparkSession
     n = df.count()
     size = 1 << 10
-    while size < 12 * n and size < max_bits:
+    while size < BITS_PER_KEY * n and size < max_bits:
         size *= 2
     set_bits = df.select(F.explode(F.array(*_positions(tuple(F.col(k) for k in key), size))).alias("p"))
     words = set_bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
@@ -67,14 +68,15 @@ def records(df: DataFrame, name: str, key: str, time: str) -> DataFrame:
     return df.where(k.isNotNull()).groupBy(F.lit(name).alias("target_table"), k.alias("target_key")).agg(F.min(time).alias("first_at"))
 
 
-def find_orphans(refs: DataFrame, parents: DataFrame, removed: DataFrame) -> DataFrame:
+def find_orphans(refs: DataFrame, parents: DataFrame, removed: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``ref_table, source_key, target_key, reason, at`` for each reference pair whose target is not there in time.
 
     ``refs`` as from :func:`references`, ``parents`` as from :func:`records`, ``removed`` with ``target_table,
     target_key``. A pair counts once, at its earliest time. A Bloom filter of the parents' keys, of bounded size, proves
-    most orphans without a join; only pairs it lets through are joined with the parents. A pair is ``late`` if the
-    target's earliest time is after the pair's, ``deleted`` if there is no target but ``removed`` lists it, else
-    ``missing``.
+    most orphans without a join; only pairs it lets through are joined with the parents. With more keys than a filter of
+    ``max_bits`` holds, keys and pairs are cut into parts by a hash of the key, and each part is probed with its own. A
+    pair is ``late`` if the target's earliest time is after the pair's, ``deleted`` if there is no target but
+    ``removed`` lists it, else ``missing``.
 
     Skew: pairs are combined before the shuffle; a target with a large share of all pairs meets one parent row, and
     adaptive execution splits its partition of the sort-merge join.
@@ -83,15 +85,23 @@ def find_orphans(refs: DataFrame, parents: DataFrame, removed: DataFrame) -> Dat
     are compared exactly as stored; repeated removals count once; with no parents every pair is deleted or missing.
     """
     parents = materialize(parents, "parents")
-    bloom = bloom_filter(parents, "target_table", "target_key")
-    pairs = (
-        refs.where(F.col("target_key").isNotNull())
-        .withColumn("maybe", bloom.might_contain(F.col("target_table"), F.col("target_key")))
-        .groupBy("ref_table", "target_table", "source_key", "target_key", "maybe")
-        .agg(F.min("at").alias("at"))
-    )
-    pairs = materialize(pairs, "pairs")
-    sure = pairs.where(~F.col("maybe")).select("ref_table", "target_table", "source_key", "target_key", "at")
+    parts = -(-parents.count() * BITS_PER_KEY // max_bits) or 1
+    key = (F.col("target_table"), F.col("target_key"))
+    grouped = refs.where(F.col("target_key").isNotNull())
+    names = ["ref_table", "target_table", "source_key", "target_key"]
+    if parts == 1:
+        maybe = bloom_filter(parents, "target_table", "target_key", max_bits=max_bits).might_contain(*key)
+        pairs = materialize(grouped.withColumn("maybe", maybe).groupBy(*names, "maybe").agg(F.min("at").alias("at")), "pairs")
+    else:
+        part = F.pmod(F.xxhash64(*key, F.lit("part")), F.lit(parts)).cast("int")
+        cut = materialize(grouped.groupBy(*names).agg(F.min("at").alias("at")).withColumn("part", part), "pairs", "part")
+        keys = materialize(parents.select(*key, part.alias("part")), "keys", "part")
+        probed = []
+        for p in range(parts):
+            bloom = bloom_filter(keys.where(F.col("part") == p), "target_table", "target_key", max_bits=max_bits)
+            probed.append(cut.where(F.col("part") == p).drop("part").withColumn("maybe", bloom.might_contain(*key)))
+        pairs = reduce(DataFrame.unionByName, probed)
+    sure = pairs.where(~F.col("maybe")).select(*names, "at")
     checked = pairs.where("maybe").join(parents.withColumn("there", F.lit(True)), ["target_table", "target_key"], "left")
     late = checked.where(F.col("first_at") > F.col("at")).select("ref_table", "source_key", "target_key", F.lit("late").alias("reason"), "at")
     gone = sure.unionByName(checked.where(F.col("there").isNull()).select(*sure.columns))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lawloom.session import parallelism
 
+#: Rows and bytes of values of both sides that a bucket should hold.
+ROWS, BYTES = 100_000, 64 << 20
 CELLS = "key string, diff string, left_value string, right_value string"
 
 
@@ -27,36 +29,44 @@ def latest_per_key(df: DataFrame, key: str, columns: Sequence[str], order: Seque
     return best.select("key", *[F.col(f"r.v.v{i}").cast("string").alias(f"c{i}") for i in range(len(columns))])
 
 
+def _codes(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of two columns as numbers, equal where the keys are."""
+    coded = pa.concat_arrays([*a.chunks, *b.chunks]).dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(a) + len(b) else np.zeros(0, np.int64)
+    return coded[: len(a)], coded[len(a) :]
+
+
 def _compare(columns: Sequence[str], left_name: str, right_name: str):
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        a = left.sort_by("key")
-        b = right.sort_by("key")
-        ka, kb = (t["key"].combine_chunks().to_numpy(zero_copy_only=False) for t in (a, b))
-        at = np.searchsorted(kb, ka) if len(kb) else np.zeros(len(ka), dtype=np.int64)
-        both = np.zeros(len(ka), dtype=bool)
-        inside = at < len(kb)
-        both[inside] = kb[at[inside]] == ka[inside]
-        matched = np.zeros(len(kb), dtype=bool)
+        ca, cb = _codes(left["key"], right["key"])
+        order = np.argsort(cb)
+        b, cb = right.take(pa.array(order)), cb[order]
+        a = left
+        ka, kb = a["key"].combine_chunks(), b["key"].combine_chunks()
+        at = np.searchsorted(cb, ca)
+        both = np.zeros(len(ca), dtype=bool)
+        inside = at < len(cb)
+        both[inside] = cb[at[inside]] == ca[inside]
+        matched = np.zeros(len(cb), dtype=bool)
         matched[at[both]] = True
         keys, kinds, lefts, rights = [], [], [], []
 
         def emit(key, kind, x=None, y=None):
             n = len(key)
             if n:
-                keys.append(pa.array(key, pa.string()))
+                keys.append(key.cast(pa.string()))
                 kinds.append(pa.array([kind] * n, pa.string()))
                 lefts.append(pa.nulls(n, pa.string()) if x is None else x)
                 rights.append(pa.nulls(n, pa.string()) if y is None else y)
 
-        emit(ka[~both], f"only_{left_name}")
-        emit(kb[~matched], f"only_{right_name}")
+        emit(ka.filter(pa.array(~both)), f"only_{left_name}")
+        emit(kb.filter(pa.array(~matched)), f"only_{right_name}")
         ia, ib = pa.array(np.flatnonzero(both)), pa.array(at[both])
         for i, name in enumerate(columns):
             x = a[f"c{i}"].combine_chunks().take(ia).cast(pa.string())
             y = b[f"c{i}"].combine_chunks().take(ib).cast(pa.string())
             nulls = pc.xor(pc.is_null(x), pc.is_null(y))
             differ = pc.or_(nulls, pc.fill_null(pc.not_equal(x, y), False))
-            emit(ka[both][differ.to_numpy(zero_copy_only=False)], name, x.filter(differ), y.filter(differ))
+            emit(ka.take(ia).filter(differ), name, x.filter(differ), y.filter(differ))
         parts = [keys, kinds, lefts, rights]
         names = ["key", "diff", "left_value", "right_value"]
         return pa.table({n: pa.concat_arrays(p) if p else pa.array([], pa.string()) for n, p in zip(names, parts, strict=True)})
@@ -74,26 +84,32 @@ def diff_tables(
     right_order: Sequence[str] = (),
     left_name: str = "left",
     right_name: str = "right",
-    rows_per_bucket: int = 100_000,
-    rows_hint: int | None = None,
+    rows_per_bucket: int = ROWS,
+    bytes_per_bucket: int = BYTES,
 ) -> DataFrame:
     """Rows missing on either side and cells that differ: ``key, diff, left_value, right_value``.
 
     Each side is first reduced to one row per key (see :func:`latest_per_key`). Keys are dealt into hash buckets; the
     two tables of a bucket come to one task as Arrow tables, are aligned by sorted search, and their columns compared
     through null-aware masks: two nulls are equal, a null and a value differ. ``diff`` is ``only_<left>``,
-    ``only_<right>`` or the name of a column. The number of buckets follows the number of rows, so a bucket stays near
-    ``rows_per_bucket`` distinct keys at any size; a repeated key adds nothing, as it was reduced before.
+    ``only_<right>`` or the name of a column. Buckets and shuffle partitions follow the rows and the bytes of both sides
+    together, so a bucket stays near ``rows_per_bucket`` rows and ``bytes_per_bucket`` at any size, however unequal the
+    sides are; a repeated key adds nothing, as it was reduced before.
 
     Defined cases: an empty side reports every key of the other; null keys are left out; columns not named are ignored,
     whatever they are called; values are compared as exact strings.
     """
-    spark = left.sparkSession
-    a = latest_per_key(left, left_key, columns, left_order)
-    b = latest_per_key(right, right_key, columns, right_order)
-    rows = rows_hint if rows_hint is not None else left.count()
-    buckets = max(parallelism(spark), -(-rows // rows_per_bucket))
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
-    ga = a.select(bucket, "*").groupBy("bucket")
-    gb = b.select(bucket, "*").groupBy("bucket")
+    n = bucket_count(left, right, columns, rows_per_bucket, bytes_per_bucket)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(n)).alias("bucket")
+    sides = (latest_per_key(left, left_key, columns, left_order), latest_per_key(right, right_key, columns, right_order))
+    ga, gb = (s.select(bucket, "*").repartition(n, "bucket").groupBy("bucket") for s in sides)
     return ga.cogroup(gb).applyInArrow(_compare(list(columns), left_name, right_name), CELLS)
+
+
+def bucket_count(left: DataFrame, right: DataFrame, columns: Sequence[str], rows: int = ROWS, size: int = BYTES) -> int:
+    """Buckets for both sides together: by their rows and by the bytes of their values; never fewer than the cores."""
+    total, held = 0, 0
+    for df in (left, right):
+        n, b = df.agg(F.count("*"), F.coalesce(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(0))), F.lit(0))).first()
+        total, held = total + n, held + b
+    return max(parallelism(left.sparkSession), -(-total // rows), -(-held // size))

@@ -43,19 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
-    The table survives the loss of executors; it is removed when the driver ends.
+    The table survives the loss of executors; it is removed by :func:`discard` or when the driver ends. With
+    ``partitions`` it has a folder for each of their values.
     """
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/lawloom-{_RUN}"
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path)
     if root not in _dirs:
         _dirs.add(root)
         atexit.register(_remove, spark, root)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._lawloom_folder = path  # for discard()
+    return table
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -67,6 +70,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass  # the session is gone; the folder belongs to it
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`materialize` that nothing will read any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._lawloom_folder)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks for a stage that runs Python code: never fewer than the cores."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -75,3 +84,16 @@ def parallelism(spark: SparkSession) -> int:
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Repartition by ``cols`` into a number of partitions that adaptive execution leaves alone."""
     return df.repartition(parallelism(df.sparkSession), *cols)
+
+
+#: Bytes a core that a scan must hold to be left as it is; below, its row groups may be too few for all cores.
+SPREAD_BELOW = 8 << 20
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """``df`` for a stage of Python code: repartitioned only if the scan is so small that it would leave cores idle.
+
+    A scan of more than ``SPREAD_BELOW`` bytes a core comes in enough pieces by itself; nothing is shuffled then.
+    """
+    size = int(df._jdf.queryExecution().analyzed().collectLeaves().head().stats().sizeInBytes().toString())
+    return spread(df) if size < SPREAD_BELOW * df.sparkSession.sparkContext.defaultParallelism else df

@@ -96,3 +96,30 @@ def test_orphans(spark):
     assert report == {("2024-01-01", "late"): 1, ("2024-02-01", "deleted"): 1, ("2024-02-01", "missing"): 1, ("2024-03-01", "missing"): 1, (None, "missing"): 1}
     none = orphans.find_orphans(r, orphans.records(parents.limit(0), "parents", "id", "at"), removed)
     assert none.count() == 9 - 1 and orphans.find_orphans(r.limit(0), orphans.records(parents, "parents", "id", "at"), removed).count() == 0
+
+
+def test_buckets_follow_both_sides(spark):
+    few = spark.range(10).select(F.concat(F.lit("k"), "id").alias("id"), F.lit("x").alias("c"))
+    many = spark.range(80_000).select(F.concat(F.lit("k"), "id").alias("id"), F.lit("y").alias("c"))
+    for a, b in ((few, many), (many, few)):
+        assert tablediff.bucket_count(a, b, ["c"], rows=1000) == 81
+        got = tablediff.diff_tables(a, b, "id", "id", ["c"], rows_per_bucket=1000)
+        assert got.count() == 80_000 and got.where(F.col("diff") == "c").count() == 10
+    assert tablediff.bucket_count(many, many, ["c"], size=1000) == 160
+
+
+def test_a_circle_beside_a_long_chain(spark):
+    links = [(f"n{i:05d}", f"n{i - 1:05d}" if i else None) for i in range(3000)] + [(f"c{i}", f"c{(i + 1) % 10}") for i in range(10)] + [("below", "c4")]
+    h = hierarchy.resolve(spark.createDataFrame(links, "id string, parent_id string"), wide_levels=2)
+    last = h.nodes.where(F.col("id") == "n02999").first()
+    assert last.depth == 2999 and last.root == "n00000" and last.ancestors == [f"n{i:05d}" for i in range(3000)]
+    assert h.nodes.count() == 3000 and h.nodes.where(F.size("ancestors") != F.col("depth") + 1).count() == 0
+    assert rows(h.cycles()) == [("below", "c0", "below"), *((f"c{i}", "c0", "on") for i in range(10))]
+
+
+def test_orphans_with_filters_in_parts(spark):
+    parents = spark.range(500).select(F.lit("p").alias("target_table"), F.concat(F.lit("k"), "id").alias("target_key"), F.lit(DAY).alias("first_at"))
+    refs = spark.range(1500).select(F.lit("r").alias("ref_table"), F.lit("p").alias("target_table"), F.col("id").cast("string").alias("source_key"), F.concat(F.lit("k"), F.col("id")).alias("target_key"), F.lit(DAY).alias("at"))
+    removed = spark.createDataFrame([("p", "k700")], "target_table string, target_key string")
+    whole, parts = (rows(orphans.find_orphans(refs, parents, removed, bits)) for bits in (orphans.MAX_BITS, 1 << 10))
+    assert whole == parts and len(parts) == 1000 and ("r", "700", "k700", "deleted", DAY) in parts
