@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +24,15 @@ MAX_MEMBERS, MAX_VISITORS = 4096, 16384
 #: Bits of a code, and standard errors of the estimate that the bound allows for.
 BITS, ERRORS = 128, 2.6
 
+#: Candidates of one visitor in a slice, as a multiple of ``k``, beyond which its slice is looked at with exact vectors.
+CROWD = 6
+#: Vectors a task remembers to drop repeats early.
+_SEEN = 1 << 20
+
 HOME, VISITOR, COPY = 0, 1, 2
 _PAIRS = "a1 long, a2 long, b1 long, b2 long"
+# pairs (cell -1), and the visitors and members of crowded slices (side 0 and 1, the vector in a1, a2)
+_MET = "cell int, i int, j int, side int, " + _PAIRS
 
 
 @dataclass(frozen=True)
@@ -68,7 +76,7 @@ def estimate(codes: np.ndarray, scalars: np.ndarray, members: np.ndarray, rot: n
     return found, ERRORS * np.sqrt(np.maximum(0, 1 - scalars**2) / (bits - 1)) / scalars
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(column: pa.Array, dim: int, dtype: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors, and the positions of the rows they come from: of ``dim`` finite values, not all zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -78,7 +86,7 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore", invalid="ignore"):
         norm = np.linalg.norm(x.astype(np.float64), axis=1)
     good = np.isfinite(norm) & (norm > 0)
-    return (x[good] / norm[good, None]).astype(np.float32), fits[good]
+    return (x[good] / norm[good, None]).astype(dtype), fits[good]
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -118,6 +126,9 @@ def _deal(batches, model: Model, probes: int, everyone_asks: bool, coded: bool):
         asks = np.ones(len(at), bool) if everyone_asks else b.column("asks").to_numpy(zero_copy_only=False)[at].astype(bool)
         if not len(at):
             continue
+        if len(seen) + len(visited) > _SEEN:  # repeats are sent again then, and counted where they meet
+            seen.clear()
+            visited.clear()
         new = np.array([not (k in seen or seen.add(k)) for k in zip(h1.tolist(), h2.tolist(), strict=True)])
         near = x @ model.centres.T
         p = min(probes, near.shape[1])
@@ -169,12 +180,39 @@ def _unpack(t: pa.Table, role: int, width: int) -> tuple[np.ndarray, np.ndarray,
     return unique, data[first], unique[counts > 1]
 
 
+def _kth(low: np.ndarray, k: int) -> np.ndarray:
+    """For each row the ``k + 1`` th largest of the lower bounds (one more, as a visitor meets itself)."""
+    n = min(k + 1, low.shape[1])
+    return -np.partition(-low, n - 1, axis=1)[:, n - 1]
+
+
+def _ordered(p: np.ndarray) -> np.ndarray:
+    """Pairs with the smaller vector first, each once."""
+    swap = (p[:, 0] > p[:, 2]) | (p[:, 0] == p[:, 2]) & (p[:, 1] > p[:, 3])
+    p[swap] = p[swap][:, [2, 3, 0, 1]]
+    return np.unique(p, axis=0)
+
+
+def _met(pairs: np.ndarray, slice_: tuple[int, int, int], sides: Sequence[np.ndarray]) -> pa.Table:
+    rows = [np.concatenate([np.repeat([[-1, 0, 0, 0]], len(pairs), 0), pairs], 1)]
+    for side, h in enumerate(sides):
+        rows.append(np.concatenate([np.repeat([[*slice_, side]], len(h), 0), h, np.zeros_like(h)], 1))
+    r = np.concatenate(rows).astype(np.int64)
+    names = [f.split()[0] for f in _MET.split(", ")]
+    return pa.table({n: pa.array(np.ascontiguousarray(r[:, c]), pa.int32() if c < 4 else pa.int64()) for c, n in enumerate(names)})
+
+
 def _meet(t: pa.Table, model: Model, floor: float, k: int, symmetric: bool) -> pa.Table:
-    """Pairs of a slice whose inner product may be at least ``floor`` and among the visitor's ``k`` largest here."""
+    """Pairs of a slice whose inner product may be at least ``floor`` and among the visitor's ``k`` largest here.
+
+    Where the bounds leave a visitor more than ``CROWD * k`` members (near-duplicates, which bounds can't tell apart),
+    no pairs come out for it, but the visitor and those members, each once, to be met by their exact vectors.
+    """
     members, packed, copied = _unpack(t, HOME, model.dim + 4)
     visitors, coded, _ = _unpack(t, VISITOR, BITS // 8 + 4 if floor > -1 else model.dim + 4)
     marked, _, _ = _unpack(t, COPY, 1)
     out = [np.concatenate([m, m], 1) for m in (copied, marked) if len(m)]
+    crowded, around = np.zeros(len(visitors), bool), np.zeros(len(members), bool)
     if len(members) and len(visitors):
         y, off = _unround(packed, model.dim)
         if floor > -1:
@@ -184,30 +222,60 @@ def _meet(t: pa.Table, model: Model, floor: float, k: int, symmetric: bool) -> p
         for a in range(0, len(visitors), 512):
             if floor > -1:
                 est, err = estimate(codes[a : a + 512], scalars[a : a + 512], y, model.rotation)
-                v, m = np.nonzero(est + err[:, None] >= floor)
+                # the largest of many estimates errs upwards: as a lower bound it needs twice the margin
+                err = err[:, None]
+                below = 2 * err
             else:
-                # what may still be larger than the k-th largest lower bound (one more for itself)
                 est = asked[a : a + 512] @ y.T
                 err = asked_off[a : a + 512, None] + off * (1 + asked_off[a : a + 512, None]) + np.float32(1e-5)
-                n = min(k + 1, est.shape[1])
-                limit = -np.partition(err - est, n - 1, axis=1)[:, n - 1]
-                v, m = np.nonzero(est + err >= limit[:, None])
+                below = err
+            open_ = est + err >= np.float32(floor)
+            many = np.flatnonzero(open_.sum(1) > k + 1)
+            if len(many):
+                # what may still be larger than the k-th largest lower bound
+                low, high = (est - below)[many], (est + err)[many]
+                open_[many] &= high >= _kth(low, k)[:, None]
+                many = many[open_[many].sum(1) > CROWD * k]
+                crowded[a + many] = True
+                around |= open_[many].any(0)
+                open_[many] = False
+            v, m = np.nonzero(open_)
             p = np.concatenate([visitors[a + v], members[m]], 1)
             p = p[(p[:, :2] != p[:, 2:]).any(1)]
-            if symmetric and len(p):
-                swap = (p[:, 0] > p[:, 2]) | (p[:, 0] == p[:, 2]) & (p[:, 1] > p[:, 3])
-                p[swap] = p[swap][:, [2, 3, 0, 1]]
-                p = np.unique(p, axis=0)
-            out.append(p)
+            out.append(_ordered(p) if symmetric and len(p) else p)
+    p = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+    slice_ = tuple(t[n][0].as_py() for n in ("cell", "i", "j"))
+    return _met(p, slice_, (visitors[crowded], members[around]))
+
+
+def _meet_exactly(t: pa.Table, dim: int, floor: float, k: int, symmetric: bool) -> pa.Table:
+    """The ``k`` members nearest to each visitor of a crowded slice, by the vectors themselves."""
+    (x, at), side = _matrix(t["v"], dim, np.float64), t["side"].to_numpy()
+    h = np.stack([t["h1"].to_numpy(), t["h2"].to_numpy()], 1).astype(np.int64)[at]
+    side = side[at]
+    asks, held = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    out = []
+    for a in range(0, len(asks), 512):
+        if not len(held):
+            break
+        rows = asks[a : a + 512]
+        cos = x[rows] @ x[held].T
+        cos[(h[rows][:, None] == h[held][None]).all(2)] = -2
+        n = min(k, len(held))
+        # equal ones all come out, for the ranks to decide by key
+        v, m = np.nonzero(cos >= np.maximum(-np.partition(-cos, n - 1, axis=1)[:, n - 1], floor)[:, None] - 1e-12)
+        p = np.concatenate([h[rows[v]], h[held[m]]], 1)
+        p = p[cos[v, m] > -2]
+        out.append(_ordered(p) if symmetric and len(p) else p)
     p = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-    return pa.table({n: pa.array(np.ascontiguousarray(p[:, i]), pa.int64()) for i, n in enumerate(("a1", "a2", "b1", "b2"))})
+    return pa.table({n: pa.array(np.ascontiguousarray(p[:, c]), pa.int64()) for c, n in enumerate(("a1", "a2", "b1", "b2"))})
 
 
 def _cosines(batches, dim: int, floor: float):
     for b in batches:
-        x, at = _matrix(b.column("va"), dim)
-        y, _ = _matrix(b.column("vb"), dim)
-        cos = np.einsum("ij,ij->i", x.astype(np.float64), y.astype(np.float64))
+        x, at = _matrix(b.column("va"), dim, np.float64)
+        y, _ = _matrix(b.column("vb"), dim, np.float64)
+        cos = np.einsum("ij,ij->i", x, y)
         kept = np.flatnonzero(cos >= floor - 1e-7)
         rows = b.take(pa.array(at[kept]))
         yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in ("a1", "a2", "b1", "b2")], pa.array(cos[kept])], names=["a1", "a2", "b1", "b2", "cos"])
@@ -254,8 +322,9 @@ def similar(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, floor: f
 
     Every vector is a member of the cell of its nearest centre, and visits the cells of its ``probes`` nearest centres
     as a one-bit code of its random rotation with a correction scalar. Inside a cell the codes give an unbiased estimate
-    of the inner products with the members and a bound of its error; only pairs that the bound can't rule out are
-    checked with the exact vectors. With ``asks`` (a condition on ``df``) only those rows ask, against all.
+    of the inner products with the members and a bound of its error; only pairs that the bound can't rule out (by the
+    floor, or by the k-th largest lower bound) are checked with the exact vectors. Near-duplicates are too close for the
+    bounds: where they crowd a slice, its vectors are sent once each, and only the k nearest of each become pairs. With ``asks`` (a condition on ``df``) only those rows ask, against all.
 
     Without a floor the codes rule out little, so visitors go as rounded vectors, whose inner products have a bound that
     always holds. With ``probes=None`` nothing is left to cells: every row that asks meets every vector, slice by slice.
@@ -279,8 +348,13 @@ def similar(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, floor: f
     shared = spark.sparkContext.broadcast(model)
     everyone = asks is None
     dealt = rows.select("h1", "h2", "v", "asks").mapInArrow(lambda bs: _deal(bs, shared.value, probes or 1, everyone, floor > -1), "cell int, i int, j int, role int, h1 long, h2 long, data binary")
-    pairs = dealt.groupBy("cell", "i", "j").applyInArrow(lambda t: _meet(t, shared.value, floor, k, everyone), _PAIRS).distinct()
-    pairs = materialize(pairs, "pairs")
+    met = materialize(dealt.groupBy("cell", "i", "j").applyInArrow(lambda t: _meet(t, shared.value, floor, k, everyone), _MET), "met")
+    pairs = met.where("cell < 0").select("a1", "a2", "b1", "b2")
+    crowd = met.where("cell >= 0").select("cell", "i", "j", "side", F.col("a1").alias("h1"), F.col("a2").alias("h2"))
+    if crowd.limit(1).count():
+        full = crowd.join(rows.select("h1", "h2", "v").dropDuplicates(["h1", "h2"]), ["h1", "h2"])
+        pairs = pairs.unionByName(full.groupBy("cell", "i", "j").applyInArrow(lambda t: _meet_exactly(t, dim, floor, k, everyone), _PAIRS))
+    pairs = materialize(pairs.distinct(), "pairs")
     involved = pairs.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(pairs.select("b1", "b2")).distinct()
     bloom = bloom_filter(involved, "h1", "h2")
     # one more pass over the vectors; what the filter lets through is far less than all

@@ -210,3 +210,23 @@ def test_leaks_in_documents(spark):
         assert got == [(1, 10), (2, 10), (5, 10)]
     assert leakage.find_leaks(df, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     assert leakage.find_leaks(df.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("floor", [0.9, -1.0])
+def test_near_duplicates_give_few_pairs(spark, monkeypatch, floor):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal(64)
+    vectors = {f"n{i:04d}": base + rng.standard_normal(64) * 1e-3 for i in range(2000)} | {f"r{i:04d}": rng.standard_normal(64) for i in range(500)}
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in vectors.items()], "id string, embedding array<float>")
+    sizes = {}
+    write = similar.materialize
+
+    def counted(table, name, *partitions):
+        out = write(table, name, *partitions)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(similar, "materialize", counted)
+    got = {(r.key, r.neighbour) for r in similar.similar(df, "id", "embedding", 64, 5, floor, probes=3 if floor > -1 else None).collect()}
+    want = brute({k: np.float32(v) for k, v in vectors.items()}, 5, floor)
+    assert len(got & want) >= (0.97 if floor > -1 else 1) * len(want) and sizes["pairs"] < 4 * 5 * 2500
