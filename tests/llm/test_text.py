@@ -71,8 +71,10 @@ def test_forms_map_to_entries(spark):
     free = canonical.free_values(df, "entity_id", "surface_form", names, "name")
     got = {r.row_key: r.entry_id for r in canonical.map_to_reference(free, "entity_id", "surface_form", names, "concept_id", "name").collect()}
     assert got == dict(enumerate(FORMS.values()))
-    sharded = canonical.map_to_reference(free, "entity_id", "surface_form", names, "concept_id", "name", shard=1)
-    assert {r.row_key: r.entry_id for r in sharded.collect()} == got
+    whole = sorted(map(tuple, canonical.map_to_reference(free, "entity_id", "surface_form", names, "concept_id", "name").collect()))
+    for shard in (1, 3):
+        sharded = canonical.map_to_reference(free, "entity_id", "surface_form", names, "concept_id", "name", shard=shard)
+        assert sorted(map(tuple, sharded.collect())) == whole
     assert {r.entry_id for r in canonical.map_to_reference(df, "entity_id", "surface_form", names.limit(0), "concept_id", "name").collect()} == {-1}
     assert canonical.map_to_reference(df.limit(0), "entity_id", "surface_form", names, "concept_id", "name").count() == 0
 
