@@ -95,5 +95,5 @@ def balanced(df: DataFrame) -> DataFrame:
 
     A scan of more than ``SPREAD_BELOW`` bytes a core comes in enough pieces by itself; nothing is shuffled then.
     """
-    size = int(df._jdf.queryExecution().analyzed().collectLeaves().head().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().analyzed().collectLeaves().head().stats().sizeInBytes())
     return spread(df) if size < SPREAD_BELOW * df.sparkSession.sparkContext.defaultParallelism else df
