@@ -1,33 +1,50 @@
-"""Text decoded with the wrong character encoding: finding it and restoring it."""
+"""Text decoded with the wrong character encoding: finding it and restoring it.
+
+A noisy channel: the text as it is was written in one encoding and read in another, and some of its bytes or characters
+may be lost. Every run of characters without a space becomes a lattice, whose edges read one or more of its characters
+as they stand, as the bytes of another encoding, or as a wildcard for what is lost; a Viterbi search under the corpus'
+letter trigrams and word frequencies finds the best way through it.
+"""
 
 from __future__ import annotations
 
 import math
 import re
 import unicodedata
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.session import spread
+from lawloom.session import materialize, spread
 
-#: Words of the lexicon: the most frequent ones with a letter beyond ASCII. A rarer word is judged by its letters.
-LEXICON = 50_000
-#: Log-odds above which a word is taken for a wrongly decoded one.
+#: Share of all words, and of all letter trigrams, from which one is held in memory: so there are at most 1 / RARE of each.
+#: A rarer word is judged by its letters, a rarer trigram by its last letter.
+RARE = (1e-6, 1e-7)
+#: Log-odds of a run of characters from which a document is taken for wrongly decoded.
 ODDS = 2.5
+#: The same for letters of an encoding of one byte, where any letter can stand for another.
+SINGLE_ODDS = 4.0
+#: What it speaks for a reading that several characters are one byte sequence of UTF-8: ordinary text has few such.
+SEQUENCE = 3.0
+#: The same inside a run that holds such a reading beyond doubt.
+SURE = 10.0
+#: Encodings under which UTF-8 was read, written as UTF-8, and read again: pairs of these.
+TWICE = ("cp1252", "latin_1", "cp1250")
+#: What an unseen character costs, as a share of all characters; and how often wrong encodings are undone one after another.
+UNSEEN, ROUNDS = 1e-7, 6
 
-# Letters and signs that texts in Romanian, French and English are written with.
-LETTERS = "ăâîșțàäæçéèêëïôöœùûüÿşţ"
-SIGNS = "„”“‘’«»–—…§²°·█€£¿¡º№ ­"
-INVENTORY = frozenset(LETTERS + LETTERS.upper().replace("ß", "") + SIGNS)
 #: Encodings for which UTF-8 has been mistaken. Python leaves some of their bytes open; those read as control characters.
 MULTI = ("cp1252", "latin_1", "cp1250", "iso8859_2", "iso8859_16", "cp437", "cp850", "cp852", "mac_roman", "mac_latin2", "cp1251", "cp1254")
 #: (encoding taken, right encoding) of texts in an encoding of one byte a letter.
-SINGLE = (("cp1252", "iso8859_16"), ("cp1252", "iso8859_2"), ("cp1252", "cp1250"), ("iso8859_2", "cp1252"), ("cp1250", "cp1252"))
-LOST = "�"
+SINGLE = (("cp1252", "iso8859_16"), ("cp1252", "iso8859_2"), ("cp1252", "cp1250"), ("iso8859_2", "cp1252"), ("cp1250", "cp1252"), ("cp1252", "cp1251"))
+LOST = "\ufffd"
+LOST_BYTES = LOST * 2
+_COMMA = str.maketrans("şţŞŢ", "șțȘȚ")
 
 
 def _bytes_of(codec: str) -> dict[str, int]:
@@ -41,243 +58,353 @@ def _bytes_of(codec: str) -> dict[str, int]:
     return out
 
 
+_BYTES = {c: _bytes_of(c) for c in MULTI}
+_BACK = {c: {b: ch for ch, b in t.items()} for c, t in _BYTES.items()}
+
+
 def _read(text: str, codec: str) -> str:
     """A text as it looks after its UTF-8 bytes were decoded by ``codec``."""
     back = _BACK[codec]
     return "".join(ch if ch.isascii() else "".join(back[b] for b in ch.encode()) for ch in text)
 
 
-_BACK = {c: {b: ch for ch, b in _bytes_of(c).items()} for c in MULTI}
+def _class(chars: Iterable[str]) -> str:
+    return "[" + "".join(rf"\x{{{ord(c):X}}}" for c in sorted(chars)) + "]"
 
 
-def _sequences(*codecs: str) -> tuple[re.Pattern[str], dict[str, str]]:
-    """The wrong readings of every character beyond ASCII that texts have, and the characters they stand for.
+#: Bytes that begin a UTF-8 sequence of two, three and four bytes, and those that go on with one.
+_LEADS = {2: range(0xC2, 0xE0), 3: range(0xE0, 0xF0), 4: range(0xF0, 0xF5)}
+_GOING_ON = range(0x80, 0xC0)
 
-    Several codecs: the text was decoded wrongly by one after another.
-    """
-    readings = {}
-    for ch in INVENTORY:
-        wrong = ch
-        for codec in codecs:
-            wrong = _read(wrong, codec)
-        readings[wrong] = ch
-    return re.compile("|".join(re.escape(r) for r in sorted(readings, key=len, reverse=True))), readings
+
+def _sequences(codec: str) -> str:
+    """The readings under ``codec`` of whole UTF-8 sequences, as a pattern of the JVM's."""
+    back = _BACK[codec]
+    on = _class(back[b] for b in _GOING_ON)
+    return "|".join(_class(back[b] for b in leads) + f"{on}{{{n - 1}}}" for n, leads in _LEADS.items())
 
 
-#: More often than once, these are taken for UTF-8.
-TWICE = ("cp1252", "latin_1", "cp1250")
-_MULTI = [_sequences(a, b) for a in TWICE for b in TWICE] + [_sequences(c) for c in MULTI]
+def _python(pattern: str) -> re.Pattern[str]:
+    return re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), pattern))
+
+
+_SEQUENCE = {c: _python(_sequences(c)) for c in MULTI}
+_SEQUENCES = "|".join(_sequences(c) for c in MULTI)
+#: Two characters of which the first can begin and the second go on with a sequence, whatever the encodings: a quick look.
+_QUICK = _class({_BACK[c][b] for c in MULTI for n in _LEADS for b in _LEADS[n]}) + _class({_BACK[c][b] for c in MULTI for b in _GOING_ON})
+#: Runs without a space that hold a character beyond ASCII, or lost ones. A space is one of ASCII: others can be bytes.
+_RUN = re.compile(r"(?<![!-~])[!-~]*(?:[^\x00-\x7F]|(?<=[A-Za-z])\?(?=[A-Za-z]))[^\x00-\x20\x7F]*")
+_LOST_SIGN = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
+_ONE_MARK = re.compile(rf"(?<!{LOST}){LOST}(?!{LOST})")
+_DIGITS = str.maketrans("123456789", "000000000")
 
 
 def _swaps(taken: str, right: str) -> dict[str, str]:
+    """Letters of the right encoding by the characters that they were taken for."""
     out = {}
     for b in range(0x80, 0x100):
         try:
-            wrong, good = bytes([b]).decode(taken), bytes([b]).decode(right)
+            wrong, good = bytes([b]).decode(taken), bytes([b]).decode(right).translate(_COMMA)
         except UnicodeDecodeError:
             continue
-        good = good.translate(_COMMA)
-        if wrong != good and good.isalpha() and good in INVENTORY and (wrong not in INVENTORY or wrong == "º"):
+        if wrong != good and good.isalpha():
             out[wrong] = good
     return out
 
 
-_COMMA = str.maketrans("şţŞŢ", "șțȘȚ")
-_SINGLE = list({tuple(sorted(t.items())): t for t in (_swaps(*p) for p in SINGLE)}.values())
-_SWAP_WORDS = [re.compile(rf"[^\W\d_]*[{''.join(t)}][^\W\d_]*") for t in _SINGLE]
-_SWAPPED = "".join(sorted({c for t in _SINGLE for c in t}))
-_BEYOND = re.compile(r"[^\x00-\x7F]{2,}")
-_LOST_SIGN = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
-_plain = "".join(sorted(INVENTORY - set("ÂâĂº")))
-#: A text is in order if none of these match: every reading of a wrong decoding has a character outside the inventory, or
-#: one of a few inventory letters before a sign; lost characters show as such or as a question mark inside a word. The
-#: first is for the text with its runs of ASCII cut to spaces, which leaves little to look at.
-_ODD = rf"[^\x00-\x7F{_plain}ÂâĂº]|[ÂâĂ][^\x00-\x7F„”“’»–…LETTER]|[ÂâĂ][º„”“’»–…§²°·«]"
-_ODD_JVM, _ODD_PY = _ODD.replace("LETTER", r"\p{L}"), re.compile(_ODD.replace("LETTER", LETTERS + LETTERS.upper()))
-_ASCII = re.compile(r"[\x00-\x7F]+")
-_MASCULINE = re.compile("(?<![nN])º")
-
-
-def _is_suspicious(text: str) -> bool:
-    if "?" in text and _LOST_SIGN.search(text):
-        return True
-    return not text.isascii() and ("º" in text and _MASCULINE.search(text) is not None or _ODD_PY.search(_ASCII.sub(" ", text)) is not None)
-
-
-def suspicious(text: Column) -> Column:
-    """Whether a text needs a closer look; null for null."""
-    odd = F.regexp_replace(text, r"[\x00-\x7F]+", " ").rlike(_ODD_JVM)
-    lost = F.contains(text, F.lit("?")) & text.rlike(r"\p{L}\?\p{L}")
-    return odd | lost | (F.contains(text, F.lit("º")) & text.rlike("(?<![nN])º"))
-
-
 @dataclass
 class Corpus:
-    """Word frequencies and letter trigrams of the corpus, over words with a letter beyond ASCII."""
+    """Word frequencies and letter trigrams of the corpus, over what stands in order and holds a letter beyond ASCII."""
 
     words: dict[str, int]
     trigrams: dict[str, int]
-    bigrams: dict[str, int] = field(default_factory=dict)
+    n_words: int = 0
 
     def __post_init__(self) -> None:
+        # counts of contexts of two, one and no characters before a character, and of the different ones that follow
+        self.two, self.one, self.letters = self.trigrams, Counter(), Counter()
+        self.context, self.follow = Counter(), Counter()
         for t, n in self.trigrams.items():
-            self.bigrams[t[:2]] = self.bigrams.get(t[:2], 0) + n
-        self.letters = sorted({t[2] for t in self.trigrams if t[2] in LETTERS and t[2] not in "şţÿ"})
-        self.cache: dict[str, float] = {}
-        self.filled: dict[tuple[str, int], str] = {}
+            self.one[t[1:]] += n
+            self.letters[t[2]] += n
+            self.context[t[:2]] += n
+            self.follow[t[:2]] += 1
+        for t, n in self.one.items():
+            self.context[t[0]] += n
+            self.follow[t[0]] += 1
+        self.n_letters = max(1, sum(self.letters.values()))
+        self.n_words = self.n_words or max(1, sum(self.words.values()))
+        self.lexicon = sorted(self.words)
+        #: What a lost character can have been, by the number of its bytes.
+        self.alphabet: dict[int, list[str]] = defaultdict(list)
+        for ch, n in sorted(self.letters.items()):
+            if not ch.isascii() and ch.isprintable() and n >= 1e-6 * self.n_letters:
+                self.alphabet[len(ch.encode())].append(ch)
+        #: Swaps that lead from a rarer letter to a more frequent one.
+        self.swaps: dict[tuple[str, str], dict[str, str]] = {}
+        for pair in SINGLE:
+            table = {w: g for w, g in _swaps(*pair).items() if self.share(g) > max(self.share(w), 10 * UNSEEN)}
+            if table and table not in self.swaps.values():
+                self.swaps[pair] = table
+        self.swap_signs = "".join(sorted({w for t in self.swaps.values() for w in t}))
+        self.swap_pattern = {p: re.compile(f"[{re.escape(''.join(t))}]") for p, t in self.swaps.items()}
+        self.odd = re.compile(f"[{re.escape(self.swap_signs)}]") if self.swap_signs else None
+        self.cache: dict[tuple[str, object], tuple[str, float]] = {}
+        self.steps: dict[str, float] = {}
+
+    def share(self, ch: str) -> float:
+        low = ch.lower()
+        return max((self.letters.get(c, 0) for c in low), default=0) / self.n_letters + UNSEEN
 
     def step(self, context: str, ch: str) -> float:
-        return math.log((self.trigrams.get(context + ch, 0) + 0.02) / (self.bigrams.get(context, 0) + 1.0))
-
-    def score(self, word: str) -> float:
-        """Log-probability of a lower-case word: by its frequency if it is known, and by its letters."""
-        if word not in self.cache:
-            if len(self.cache) > 1 << 18:
-                self.cache.clear()
-            padded = f"^^{word}$"
-            self.cache[word] = sum(self.step(padded[i : i + 2], padded[i + 2]) for i in range(len(padded) - 2)) + 0.5 * math.log1p(self.words.get(word, 0))
-        return self.cache[word]
-
-
-def _undo_multi(text: str) -> str:
-    """Read wrongly decoded UTF-8 sequences again, encoding by encoding, also where this happened more than once."""
-    for _ in range(6):
-        beyond = "\n".join(_BEYOND.findall(text))
-        best, least = None, 0
-        for pattern, readings in _MULTI:
-            n = sum(map(len, pattern.findall(beyond)))
-            if n > least:
-                best, least = (pattern, readings), n
-        if best is None:
-            return text
-        pattern, readings = best
-        text = pattern.sub(lambda m, r=readings: r[m.group()], text)
-    return text
-
-
-def _undo_single(text: str, corpus: Corpus) -> tuple[str, float]:
-    """The text with letters of a wrong one-byte encoding put right, and the highest log-odds of a word for it."""
-    if not any(c in text for c in _SWAPPED):
-        return text, 0.0
-    best, top = text, 0.0
-    for table, some in zip(_SINGLE, _SWAP_WORDS, strict=True):
-        if not any(c in text for c in table):
-            continue
-        swap = str.maketrans(table)
-        most = 0.0
+        """Log-probability of a character after two others: what is unknown after two is looked up after one, and then by
+        how frequent it is; the more different characters followed, the more a new one is to be expected."""
+        t = context + ch
+        s = self.steps.get(t)
+        if s is None:
+            p = self.share(ch)
+            for c, counts in ((context[1], self.one), (context, self.two)):
+                new = self.follow[c] + 1
+                p = (counts.get(c + ch, 0) + new * p) / (self.context[c] + new)
+            s = self.steps[t] = math.log(p)
+        return s
+
+    def bonus(self, word: str) -> float:
+        """What it speaks for a word of several letters that the corpus has it, by how often in a million words."""
+        return 0.0 if len(word) < 2 else math.log1p(1e6 * self.words.get(word, 0) / self.n_words)
+
+
+def _edges(run: str, channel: object, corpus: Corpus) -> list[list[tuple[int, str]]]:
+    """The lattice of a run: at each place the readings that begin there, as (where they end, what they read).
+
+    ``channel`` is an encoding that UTF-8 was mistaken for, a pair of encodings of one byte, or LOST or LOST_BYTES for
+    lost characters, each with a mark of its own or with one for each of its bytes. A lost byte inside a sequence is a wildcard: it goes with every character of the
+    corpus' alphabet whose other bytes are there.
+    """
+    n = len(run)
+    edges: list[list[tuple[int, str]]] = [[(i + 1, run[i])] for i in range(n)]
+    if channel in _BYTES:
+        table = _BYTES[channel]
+        data = [table.get(c, 0 if c != LOST else None) for c in run]
+        for i, b in enumerate(data):
+            for size, leads in _LEADS.items():
+                part = data[i : i + size]
+                if len(part) < size or not (b is None or b in leads) or not all(x is None or x in _GOING_ON for x in part[1:]):
+                    if size == 2 and b is not None and b in leads and i + 1 == n:
+                        # the last byte is gone with a space
+                        edges[i] += [(i + 1, u) for u in corpus.alphabet[2] if u.encode()[0] == b]
+                    continue
+                if None in part:
+                    if any(x is not None for x in part):
+                        edges[i] += [(i + size, u) for u in corpus.alphabet[size] if all(x is None or x == y for x, y in zip(part, u.encode(), strict=True))]
+                    continue
+                try:
+                    edges[i].append((i + size, bytes(part).decode()))
+                except UnicodeDecodeError:
+                    pass
+    elif channel in (LOST, LOST_BYTES):
+        for i, c in enumerate(run):
+            if c == LOST:
+                marks = next((k for k in range(i, n) if run[k] != LOST), n) - i
+                for size, chars in corpus.alphabet.items():
+                    k = size if channel == LOST_BYTES else 1
+                    if k <= marks:
+                        edges[i] += [(i + k, u) for u in chars]
+            elif c == "?" and 0 < i < n - 1 and run[i - 1].isalpha() and run[i + 1].isalpha():
+                edges[i] += [(i + 1, u) for chars in corpus.alphabet.values() for u in chars if u.isalpha()]
+    else:
+        swap = corpus.swaps[channel]
+        for i, c in enumerate(run):
+            if c in swap:
+                edges[i].append((i + 1, swap[c]))
+    return edges
+
+
+def _viterbi(edges: list[list[tuple[int, str]]], corpus: Corpus, sequence: float = SEQUENCE) -> tuple[str, float]:
+    """The best way through a lattice: its text and log-probability.
+
+    A state is a place, the last two characters, and the beginning of a word of the lexicon that the letters since the
+    last sign are; one way a state is kept, which is exact.
+    """
+    lexicon, step = corpus.lexicon, corpus.step
+    n = len(edges)
+    at: list[dict[tuple[str, str | None], tuple[float, str, int, int]]] = [{} for _ in range(n + 1)]
+    at[0]["^^", ""] = (0.0, "", 0, len(lexicon))
+    for i in range(n):
+        for (context, prefix), (score, out, lo, hi) in at[i].items():
+            for j, u in edges[i]:
+                low = u.lower().translate(_DIGITS)
+                c, s, p, a, b = context, score + (sequence if j > i + 1 else 0.0), prefix, lo, hi
+                for ch in low:
+                    s += step(c, ch)
+                    c = c[1] + ch
+                    if not ch.isalpha():
+                        if p:
+                            s += corpus.bonus(p)
+                        p, a, b = "", 0, len(lexicon)
+                    elif p is not None:
+                        p += ch
+                        a = bisect_left(lexicon, p, a, b)
+                        b = bisect_left(lexicon, p + "\U0010ffff", a, b)
+                        if a == b:
+                            p = None
+                if u == LOST or u == "?" and len(edges[i]) > 1:
+                    s -= 50.0  # only if nothing else is left
+                known = at[j].get((c, p))
+                if known is None or s > known[0]:
+                    at[j][c, p] = (s, out + u, a, b)
+        at[i] = {}
+    best = ("", -math.inf)
+    for (context, prefix), (score, out, *_) in at[n].items():
+        score += step(context, "$") + (corpus.bonus(prefix) if prefix else 0.0)
+        if score > best[1]:
+            best = (out, score)
+    return best
 
-        def fix(m: re.Match[str], swap=swap) -> str:
-            nonlocal most
-            word = m.group()
-            other = word.translate(swap)
-            if other == word or word in ("nº", "Nº", "º", "ª"):
-                return word
-            odds = corpus.score(other.lower()) - corpus.score(word.lower())
-            most = max(most, odds)
-            return other if odds > 0 else word
 
-        fixed = some.sub(fix, text)
-        if most > top:
-            best, top = fixed, most
-    return (best, top) if top > ODDS else (text, top)
+def _reread(sequence: str, codec: str) -> str:
+    table = _BYTES[codec]
+    return bytes(table[c] for c in sequence).decode(errors="replace")
+
+
+def _decode(run: str, channel: object, corpus: Corpus) -> tuple[str, float]:
+    """A run as read through a channel, and the log-odds of this reading against the run as it stands."""
+    key = (run, channel)
+    if key not in corpus.cache:
+        if len(corpus.cache) > 1 << 17:
+            corpus.cache.clear()
+        once = run
+        if channel in _PAIRS:
+            once, channel = _SEQUENCE[channel[1]].sub(lambda m: _reread(m.group(), channel[1]), run), channel[2]
+        edges = _edges(once, channel, corpus)
+        text, score = _viterbi(edges, corpus)
+        plain = score if text == run else _viterbi([[(i + 1, c)] for i, c in enumerate(run)], corpus)[1]
+        if channel in _BYTES and score - plain > ODDS:
+            text = _viterbi(edges, corpus, SURE)[0]
+        corpus.cache[key] = (text, score - plain)
+    return corpus.cache[key]
+
+
+def _undo(text: str, corpus: Corpus) -> tuple[str, bool]:
+    """Undo the wrong encoding that speaks most for itself over all runs of the text, again and again while there is one."""
+    undone = False
+    for _ in range(ROUNDS):
+        runs = Counter(_RUN.findall(text))
+        joined = "\n".join(runs)
+        best, top, fixes = None, 0.0, {}
+        for channel in (*MULTI, *_PAIRS, *corpus.swaps):
+            pattern = corpus.swap_pattern[channel] if channel in corpus.swaps else _SEQUENCE[channel[1] if channel in _PAIRS else channel]
+            if pattern.search(joined) is None:
+                continue
+            odds, most, found = 0.0, 0.0, {}
+            for run, n in runs.items():
+                whole = pattern.search(run) is not None
+                # where the text shows the encoding, incomplete sequences are its own, too
+                if whole or channel in _BYTES and (LOST in run or _BYTES[channel].get(run[-1], 0) in _LEADS[2]):
+                    other, gain = _decode(run, channel, corpus)
+                    if other != run and gain > 0:
+                        found[run] = other
+                        if whole:
+                            odds += n * gain
+                            most = max(most, gain)
+            if most > (SINGLE_ODDS if channel in corpus.swaps else ODDS) and odds > top:
+                best, top, fixes = channel, odds, found
+        if best is None:
+            break
+        undone = True
+        text = _RUN.sub(lambda m, f=fixes: f.get(m.group(), m.group()), text)
+    return text, undone
 
 
-def _fill(word: str, corpus: Corpus, width: int, beam: int = 24) -> str:
-    """Viterbi over the letters that lost characters of a word can have been, under trigrams and word frequencies.
+def _fill(text: str, corpus: Corpus) -> str:
+    """Fill in lost characters, each run by its own lattice.
 
-    A lost character, of as many marks as ``width``, is an edge for each letter; the others are single edges.
+    If a mark stands alone anywhere, the text has a mark for each character, else one for each byte. A lost character
+    between spaces stays, as nothing tells what it was, unless the marks tell how many bytes it had.
     """
-    if (word, width) in corpus.filled:
-        return corpus.filled[word, width]
-    low = word.lower()
-    paths = [(0.0, "^^", "")]
-    i = 0
-    while i < len(low):
-        grown = []
-        if low[i] in (LOST, "?"):
-            step = width if low[i : i + width] == LOST * width else 1
-            options: Iterable[str] = corpus.letters
-        else:
-            step, options = 1, (low[i],)
-        for cost, context, out in paths:
-            for ch in options:
-                grown.append((cost + corpus.step(context, ch), context[1] + ch, out + ch))
-        paths = sorted(grown, reverse=True)[:beam]
-        i += step
-    best = max(paths, key=lambda p: p[0] + corpus.step(p[1], "$") + 2 * math.log1p(corpus.words.get(p[2], 0)))[2]
-    best = best.upper() if word.isupper() and len(word) > 1 else best[:1].upper() + best[1:] if word[:1].isupper() else best
-    if len(corpus.filled) > 1 << 16:
-        corpus.filled.clear()
-    corpus.filled[word, width] = best
-    return best
+    way = LOST if LOST not in text or _ONE_MARK.search(text) else LOST_BYTES
 
+    def fix(m: re.Match[str]) -> str:
+        run = m.group()
+        if way == LOST and not any(map(str.isalpha, run)) or LOST not in run and not _LOST_SIGN.search(run):
+            return run
+        filled = _decode(run, way, corpus)[0]
+        # capitals are as the rest of the run has them
+        return filled.upper() if run.isupper() and sum(map(str.isalpha, run)) > 1 else filled
 
-_DAMAGED = re.compile(rf"[^\W\d_]*(?:{LOST}+[^\W\d_]*)+|[^\W\d_]+(?:\?[^\W\d_]+)+")
-_BEFORE = r"\b([ldjmnstcLDJMNSTC]|qu|Qu)"
-_VOWEL = rf"(?=[aeiouhâêéèîôAEIOUHÂÊÉÈÎÔ{LOST}])"
-_ENGLISH = re.compile(r"\b(?:the|of)\b")
-_ROMANIAN = re.compile(r"\b(?:și|în|nr|din)\b")
+    return _RUN.sub(fix, text)
 
 
-def _signs(lost: str, letter: str) -> tuple[re.Pattern[str], ...]:
-    return tuple(map(re.compile, (rf"\bn{letter}(?= ?\d)", rf"(?<=[a-z]){lost}s\b", rf"{_BEFORE}{lost}{_VOWEL}", rf"(?<![\w{LOST}]){lost}(?=\w)", rf"(?<=\w){lost}(?![\w{LOST}])", rf"(?<=\s){lost}(?=\s)")))
+def _is_suspicious(text: str, corpus: Corpus) -> bool:
+    """The same as :func:`suspicious`, for one text."""
+    if "?" in text and _LOST_SIGN.search(text):
+        return True
+    if text.isascii():
+        return False
+    if LOST in text or corpus.odd is not None and corpus.odd.search(text):
+        return True
+    beyond = _ASCII.sub(" ", text)
+    return _QUICK_PY.search(beyond) is not None and any(p.search(beyond) for p in _SEQUENCE.values())
+
 
+_ASCII, _QUICK_PY = re.compile(r"[\x00-\x7F]+"), _python(_QUICK)
+_PAIRS = [("utf-8", a, b) for a in TWICE for b in TWICE]
 
-#: Lost bytes: a sign has three of them, a letter two. Lost characters: either has one.
-_LOST_BYTES, _LOST_CHARS = _signs(LOST * 3, LOST * 2), _signs(rf"[{LOST}?]", rf"[{LOST}?]")
 
+def suspicious(text: Column, corpus: Corpus) -> Column:
+    """Whether a text needs a closer look; null for null.
 
-def _fill_all(text: str, corpus: Corpus) -> str:
-    """Fill in lost characters: signs by their surroundings, letters by Viterbi search."""
-    by_char = any(len(r) == 1 for r in re.findall(rf"(?<![^\W\d_]){LOST}+(?=[^\W\d_])|(?<=[^\W\d_]){LOST}+(?=[^\W\d_])", text)) or LOST not in text
-    number, genitive, elision, opening, closing, dash = _LOST_CHARS if by_char else _LOST_BYTES
-    text = number.sub("nº", text)
-    if _ENGLISH.search(text):
-        text = genitive.sub("’s", text)
-    text = elision.sub("\\1’", text)
-    if not by_char:
-        text = dash.sub("–", closing.sub("”", opening.sub("„" if _ROMANIAN.search(text) else "“", text)))
-    return _DAMAGED.sub(lambda m: _fill(m.group(), corpus, 1 if by_char else 2) if any(c.isalpha() for c in m.group()) else m.group(), text)
+    It does if it holds the reading of a whole UTF-8 sequence under one of the encodings, a letter that takes the place
+    of a more frequent one in an encoding of one byte, or a lost character. Runs of ASCII are cut to spaces first, which
+    leaves little to look at.
+    """
+    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", " ")
+    odd = beyond.rlike(_class({LOST, *corpus.swap_signs}))
+    lost = F.contains(text, F.lit("?")) & text.rlike(r"\p{L}\?\p{L}")
+    return odd | lost | (beyond.rlike(_QUICK) & beyond.rlike(_SEQUENCES))
 
 
 def restore(text: str | None, corpus: Corpus) -> tuple[str | None, bool]:
     """The restored text, and whether any of it had been decoded wrongly.
 
-    Readings of UTF-8 under a wrong encoding are read again; letters of a wrong one-byte encoding are put right where
-    word frequencies and letter trigrams say so; lost characters inside words are filled in by Viterbi search. What no
-    word speaks for stays as it is. None and the empty text are in order.
+    Wrong encodings are undone where letters and words of the corpus speak for it, one after another; then lost
+    characters are filled in. What nothing speaks for stays as it is. None and the empty text are in order.
     """
-    if not text or not _is_suspicious(text):
+    if not text or not _is_suspicious(text, corpus):
         return text, False
-    fixed = _undo_multi(text)
-    garbled = fixed != text
-    fixed, odds = _undo_single(fixed, corpus)
-    garbled |= odds > ODDS
+    fixed, garbled = _undo(text, corpus)
     if LOST in fixed or _LOST_SIGN.search(fixed):
         garbled = True
-        fixed = _fill_all(fixed, corpus)
+        fixed = _fill(fixed, corpus)
     return (unicodedata.normalize("NFC", fixed) if garbled else text), garbled
 
 
-def corpus_model(docs: DataFrame, text: str, extra: Iterable[str] = ()) -> Corpus:
-    """Frequencies over all texts, counted by words with partial aggregation; two bounded tables come to the driver.
+def corpus_model(docs: DataFrame, text: str, extra: DataFrame | None = None) -> Corpus:
+    """Frequencies over all texts, counted with partial aggregation; two tables of bounded size come to the driver.
 
-    These are the ``LEXICON`` most frequent words and the letter trigrams, of which the alphabet bounds the number.
+    Counted are runs of characters that hold one beyond ASCII and no reading of a UTF-8 sequence: garbled ones would
+    speak for themselves. Words and trigrams come out that make at least the shares ``RARE`` of all. ``extra`` are more
+    words (column ``w``).
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(r"(?<!\p{L})([a-zA-Z]*+[\p{L}&&[^\x00-\x7F]]\p{L}*+)"), F.lit(1))
-    words = docs.select(F.explode(found).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n"))
-    words = words.where(F.length("w") <= 40).persist()
-    try:
-        top = words.orderBy(F.desc("n"), "w").limit(LEXICON).toArrow()
-        padded = F.concat(F.lit("^^"), "w", F.lit("$"))
-        grams = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, F.lit(3)))).alias("g"))
-        grams = grams.groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(1 << 20).toArrow()
-    finally:
-        words.unpersist()
-    lexicon = dict(zip(top["w"].to_pylist(), top["n"].to_pylist(), strict=True))
-    for w in extra:
-        lexicon[w] = lexicon.get(w, 0) + 1
-    return Corpus(lexicon, dict(zip(grams["g"].to_pylist(), grams["n"].to_pylist(), strict=True)))
+    found = F.regexp_extract_all(F.col(text), F.lit(r"(?<![!-~])([!-~]*+[^\x00-\x7F][^\x00-\x20\x7F]*+)"), F.lit(1))
+    runs = docs.select(F.explode(found).alias("r")).groupBy(F.translate("r", "123456789", "000000000").alias("r")).agg(F.count("*").alias("n"))
+    beyond = F.regexp_replace("r", r"[\x00-\x7F]+", " ")
+    sound = ~F.contains("r", F.lit(LOST)) & ~(beyond.rlike(_QUICK) & beyond.rlike(_SEQUENCES))
+    runs = materialize(runs.where(sound).select(F.lower("r").alias("r"), "n"), "runs")
+    words = runs.select("n", F.explode(F.regexp_extract_all("r", F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).where(~F.col("w").rlike(r"^[\x00-\x7F]*$"))
+    if extra is not None:
+        words = words.unionByName(extra.select(F.lit(1).cast("long").alias("n"), F.lower("w").alias("w")))
+    words = words.groupBy("w").agg(F.sum("n").alias("n"))
+    padded = F.concat(F.lit("^^"), "r", F.lit("$"))
+    grams = runs.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("r") + 1), lambda i: F.substring(padded, i, F.lit(3)))).alias("g"))
+    grams = grams.groupBy("g").agg(F.sum("n").alias("n"))
+    counts = []
+    for t, rare in zip((words, grams), RARE, strict=True):
+        t = materialize(t, "counts")
+        total = t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        kept = t.where(F.col("n") >= rare * total).toArrow()
+        counts.append((dict(zip(kept.column(0).to_pylist(), kept.column(1).to_pylist(), strict=True)), total))
+    return Corpus(counts[0][0], counts[1][0], counts[0][1])
 
 
 def restore_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -290,7 +417,8 @@ def restore_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     Defined cases: null and empty texts are in order; a repeated document comes out as often as it is there; other
     columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(corpus_model(docs, text))
+    corpus = corpus_model(docs, text)
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def run(batches):
         for b in batches:
@@ -302,5 +430,5 @@ def restore_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
                     out.append(fixed)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["key", "restored"])
 
-    picked = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(suspicious(F.col("text")))
+    picked = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where(suspicious(F.col("text"), corpus))
     return spread(picked).mapInArrow(run, "key long, restored string")

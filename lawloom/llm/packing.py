@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.session import materialize, parallelism, spread
+from lawloom.session import balanced, materialize, parallelism
 
 #: Items that one task packs, tasks whose rests are merged into one, and rests that a task passes on at most.
 PER_TASK, FAN_IN, MAX_OPEN = 200_000, 8, 20_000
@@ -47,7 +47,7 @@ def count_tokens(docs: DataFrame, key: str, text: str, tokenizer: str | None = N
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["key", "n_tokens"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return spread(rows).mapInArrow(run, "key long, n_tokens long")
+    return balanced(rows).mapInArrow(run, "key long, n_tokens long")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,23 +81,23 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, np.array(loads, np.int64)
 
 
-def _open(loads: np.ndarray, capacity: int, last: bool) -> np.ndarray:
-    """Which bins go on to be merged: those not nearly full, at most the ``MAX_OPEN`` emptiest of them."""
+def _open(loads: np.ndarray, capacity: int, last: bool, max_open: int) -> np.ndarray:
+    """Which bins go on to be merged: those not nearly full, at most the ``max_open`` emptiest of them."""
     if last:
         return np.zeros(len(loads), bool)
     wait = loads < FULL * capacity
-    if wait.sum() > MAX_OPEN:
+    if wait.sum() > max_open:
         order = np.argsort(loads, kind="stable")
-        wait[order[MAX_OPEN:]] = False
+        wait[order[max_open:]] = False
     return wait
 
 
-def _round(level: int, capacity: int, last: bool):
+def _round(level: int, capacity: int, last: bool, max_open: int):
     def fill(t: pa.Table) -> pa.Table:
         part = t["part"][0].as_py()
         bins, loads = best_fit(t["n_tokens"].to_numpy(), capacity)
         ids = (level << 58) + (part << 28) + np.arange(len(loads), dtype=np.int64)
-        wait = _open(loads, capacity, last)
+        wait = _open(loads, capacity, last, max_open)
         return pa.table({"part": t["part"], "id": t["id"], "piece": t["piece"], "n_tokens": t["n_tokens"], "bin": ids[bins], "load": loads[bins], "open": wait[bins]})
 
     return fill
@@ -106,14 +106,14 @@ def _round(level: int, capacity: int, last: bool):
 _SCHEMA = "part long, id long, piece int, n_tokens long, bin long, load long, open boolean"
 
 
-def pack(sizes: DataFrame, capacity: int, per_task: int = PER_TASK) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, per_task: int = PER_TASK, max_open: int = MAX_OPEN) -> DataFrame:
     """``key, piece, first_token, n_tokens, container``: which container holds each item, or each piece of a long one.
 
     ``sizes`` has ``key, n_tokens``. An item of more than ``capacity`` tokens is cut into full pieces, each a container
     of its own, and a rest, which is an item like any other; no other item is cut. Each task packs its share by best-fit
     decreasing and closes the containers that are nearly full; what is left in the others goes on as items to the next
     round, in which one task takes the rests of ``FAN_IN`` tasks, and so on to a single one. No task gets more than
-    ``per_task`` items or ``FAN_IN * MAX_OPEN`` rests: if more are left, the fullest are closed first.
+    ``per_task`` items or ``FAN_IN * max_open`` rests: if more are left, the fullest are closed first.
 
     Defined cases: items of no tokens get no container (null); repeated keys are items each; ties keep their order in
     the task.
@@ -126,13 +126,13 @@ def pack(sizes: DataFrame, capacity: int, per_task: int = PER_TASK) -> DataFrame
     parts = max(parallelism(spark), -(-sizes.count() // per_task))
     loose = pieces.where((F.col("n_tokens") > 0) & (F.col("n_tokens") < capacity)).select(F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).alias("part"), "id", "piece", "n_tokens")
     last = parts == 1
-    packed = materialize(loose.groupBy("part").applyInArrow(_round(1, capacity, last), _SCHEMA), "packed")
+    packed = materialize(loose.groupBy("part").applyInArrow(_round(1, capacity, last, max_open), _SCHEMA), "packed")
     result, level, rest = packed.select("id", "piece", "n_tokens", "bin"), 1, packed
     while not last:
         level, parts = level + 1, -(-parts // FAN_IN)
         last = parts == 1
         waiting = rest.where("open").select(F.floor(F.col("part") / FAN_IN).alias("part"), F.col("bin").alias("id"), F.lit(0).alias("piece"), F.col("load").alias("n_tokens")).distinct()
-        rest = materialize(waiting.groupBy("part").applyInArrow(_round(level, capacity, last), _SCHEMA), "merged")
+        rest = materialize(waiting.groupBy("part").applyInArrow(_round(level, capacity, last, max_open), _SCHEMA), "merged")
         moved = rest.select(F.col("id").alias("bin"), F.col("bin").alias("to"))
         result = result.join(moved, "bin", "left").select("id", "piece", "n_tokens", F.coalesce("to", "bin").alias("bin"))
     whole = pieces.where(F.col("n_tokens") == capacity).select("id", "piece", "n_tokens", F.concat(F.lit("whole-"), "id", F.lit("-"), "piece").alias("container"))
@@ -146,3 +146,17 @@ def packing_report(packed: DataFrame, capacity: int) -> DataFrame:
     loads = packed.where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("n_tokens").alias("load"))
     totals = loads.agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("load"), F.lit(0)).alias("n_tokens"), F.max("load").alias("largest_load"))
     return totals.withColumn("least_containers", F.ceil(F.col("n_tokens") / capacity)).withColumn("unused_tokens", F.col("n_containers") * capacity - F.col("n_tokens"))
+
+
+def invariants(items: DataFrame, packed: DataFrame, capacity: int) -> DataFrame:
+    """One row of counts of what a packing must not have, and whether it is near the least number of containers."""
+    loads = packed.where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("n_tokens").alias("load"))
+    totals = loads.agg(F.count("*").alias("n"), F.coalesce(F.sum("load"), F.lit(0)).alias("tokens"), F.count_if(F.col("load") > capacity).alias("n_overfull"))
+    pieces = packed.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.countDistinct("piece").alias("different"))
+    gaps = (F.col("tokens") != F.col("end")) | (F.col("n") != F.col("different"))
+    cut = (F.col("n") > 1) & (F.col("tokens") <= capacity)
+    held = items.join(pieces, "key", "left").agg(
+        F.count("*").alias("n_docs"), F.count_if(F.col("n").isNull()).alias("n_lost"), F.count_if(cut).alias("n_cut_needlessly"), F.count_if(gaps).alias("n_gaps")
+    )
+    near = F.col("n") <= F.ceil(F.col("tokens") / capacity) * 1.01 + 8
+    return held.crossJoin(totals).select("n_docs", "n_lost", "n_overfull", "n_cut_needlessly", "n_gaps", near.alias("near_least"))  # one row each

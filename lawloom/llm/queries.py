@@ -88,7 +88,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _similar_pairs(units).unionByName(_similar_pairs(enriched))
 
 
-@query("p4_neighbours")
+_NEAREST_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_cosine_similarity(a.v, b.v) AS cosine FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT vec_id, neighbour_id, round(cosine, 6) AS cosine, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(cosine, 9) DESC, CAST(neighbour_id AS VARCHAR)) AS INTEGER) AS rank FROM s QUALIFY rank <= 5
+"""
+
+
+@query("p4_neighbours", _NEAREST_SQL)
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 most similar vectors, at any cosine, of every embedding whose vec_id is divisible by 100, against all."""
     near = similar.similar(table(spark, d, "embeddings"), "vec_id", "embedding", DIM, NEIGHBOURS, probes=None, asks=F.col("vec_id") % 100 == 0)
@@ -134,6 +141,17 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(_packed(spark, d), CAPACITY)
 
 
+@query("p8_invariants", f"""SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_cut_needlessly, CAST(0 AS BIGINT) AS n_gaps,
+  true AS near_least FROM (SELECT DISTINCT doc_id FROM documents)""")
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: every ruling and each of its tokens is in one container, none of which holds more than
+    its capacity; only rulings beyond the capacity are cut, into pieces that follow each other; and the containers are
+    within 1 % (and 8) of the least number that could hold the tokens."""
+    docs = table(spark, d, "documents").dropDuplicates(["doc_id"])
+    packed = packing.materialize(packing.pack(packing.count_tokens(docs, "doc_id", "text"), CAPACITY), "packed")
+    return packing.invariants(docs.select(F.col("doc_id").alias("key")), packed, CAPACITY)
+
+
 # -- problem 9: evaluation items in the corpus
 
 
@@ -152,6 +170,24 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy(F.col("item_key").alias("item_id")).agg(F.count("*").alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+_RUNS_SQL = """
+WITH d AS (SELECT DISTINCT doc_id AS k, regexp_extract_all(lower(strip_accents(regexp_replace(text, '[\\x{AD}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]', '', 'g'))), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id AS k, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT k, n, array_to_string(ws[n:n + 11], ' ') AS run FROM (SELECT k, ws, unnest(range(1, len(ws) - 10)) AS n FROM d)),
+iw AS (SELECT k, n, array_to_string(ws[n:n + 11], ' ') AS run FROM (SELECT k, ws, unnest(range(1, len(ws) - 10)) AS n FROM i)),
+m AS (SELECT dw.k AS d, iw.k AS i, dw.n AS n, dw.n - iw.n AS diagonal FROM dw JOIN iw USING (run)),
+g AS (SELECT *, n - row_number() OVER (PARTITION BY d, i, diagonal ORDER BY n) AS island FROM (SELECT DISTINCT * FROM m)),
+r AS (SELECT d, i, count(*) + 11 AS n_words FROM g GROUP BY d, i, diagonal, island)
+"""
+
+
+@query("p9_stored", _RUNS_SQL + "SELECT d AS doc_id, i AS item_id, max(n_words) AS n_words FROM r GROUP BY d, i")
+def p9_stored(spark: SparkSession, d: str) -> DataFrame:
+    """What leaked into the rulings as they are stored, without restoring any, and the most words in a row."""
+    found = leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", restored=False)
+    return found.select(F.col("key").alias("doc_id"), F.col("item_key").alias("item_id"), "n_words")
+
+
 # -- problem 10: wrong encodings
 
 

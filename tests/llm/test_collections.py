@@ -153,6 +153,9 @@ def test_best_fit_and_tree(spark):
     assert set(packed[packed.container.isna()].key) == {9001, 9002}
     # seventeen tasks of 300 large items each: their rests are merged whole, which costs some 2 % against one task
     assert held.container.nunique() <= -(-int(held.n_tokens.sum()) // 100) * 1.03 + 1
+    few = packing.pack(df, 100, per_task=300, max_open=40)
+    assert few.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n")).where("n > 100").count() == 0
+    assert few.agg(F.sum("n_tokens")).first()[0] == packed.n_tokens.sum() and few.select("container").distinct().count() <= 1.05 * held.container.nunique()
     half = packing.pack(spark.createDataFrame([(i, 51) for i in range(50)], "key long, n_tokens long"), 100)
     assert half.select("container").distinct().count() == 50
     assert packing.pack(df.limit(0), 100).count() == 0
@@ -167,21 +170,38 @@ def test_tokens_are_counted(spark):
 ITEM = "De vreme ce Minuescu a reparat dispozitivul de urmărire, regula din art. 340 pct. 5 cedează față de Decizia nr. 229/2023 și rămâne valabilă."
 
 
+def leaks_of(index, text):
+    return {i: n for (_, i), n in index.leaks([(0, leakage.words(text))]).items()}
+
+
 @pytest.mark.parametrize("n,leaks", [(12, True), (11, False)])
 def test_a_run_of_words_leaks(n, leaks):
     index = leakage.Index([(1, ITEM), (2, "cel mult " * 20), (3, "scurt"), (4, "")])
     run = " ".join(leakage.words(ITEM)[3 : 3 + n])
-    assert (index.leaks(f"Altceva {run.upper()} iar apoi") == {1: n}) is leaks
-    assert index.leaks("") == {} and index.leaks("x " * 20_000) == {}
+    assert (leaks_of(index, f"Altceva {run.upper()} iar apoi") == {1: n}) is leaks
+    assert leaks_of(index, "") == {} and leaks_of(index, "x " * 20_000) == {}
+    assert leakage.Index([]).leaks([(0, ["a"] * 30)]) == {}
 
 
 @pytest.mark.parametrize("before,n", [(0, 200), (70, 60), (80, 20), (5, 97)])
-def test_a_run_goes_on_from_passage_to_passage(before, n):
+def test_a_run_is_counted_whole(before, n):
     index = leakage.Index([(1, " ".join(f"w{i}" for i in range(n))), (2, " ".join(f"x{i}" for i in range(90)))])
     lead = [f"x{i}" for i in range(before)]
-    assert index.leaks(" ".join([*lead, *(f"w{i}" for i in range(n)), *lead]))[1] == n
+    assert leaks_of(index, " ".join([*lead, *(f"w{i}" for i in range(n)), *lead]))[1] == n
     cut = [*lead, *(f"w{i}" for i in range(n) if i != 15)]
-    assert index.leaks(" ".join(cut))[1] == max(15, n - 16)
+    assert leaks_of(index, " ".join(cut))[1] == max(15, n - 16)
+
+
+def common_run(a, b):
+    best, before = 0, {}
+    for x in a:
+        now = {}
+        for j, y in enumerate(b):
+            if x == y:
+                now[j] = before.get(j - 1, 0) + 1
+                best = max(best, now[j])
+        before = now
+    return best
 
 
 def test_search_equals_brute_force():
@@ -189,15 +209,21 @@ def test_search_equals_brute_force():
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(12, 40)))) for i in range(200)]
     index = leakage.Index(items)
-    for _ in range(60):
-        ws = [w for _ in range(4) for w in (leakage.words(items[rng.randrange(200)][1])[: rng.randrange(5, 20)] + rng.choices(vocabulary + ["zz"], k=3))]
-        text = " ".join(ws)
-        want = set()
-        for i, t in items:
-            runs = {tuple(x[k : k + 12]) for x in [leakage.words(t)] for k in range(len(x) - 11)}
-            if any(tuple(ws[k : k + 12]) in runs for k in range(len(ws) - 11)):
-                want.add(i)
-        assert set(index.leaks(text)) == want
+    split = {i: leakage.words(t) for i, t in items}
+    for _ in range(40):
+        ws = [w for _ in range(4) for w in (split[rng.randrange(200)][: rng.randrange(5, 20)] + rng.choices(vocabulary + ["zz"], k=3))]
+        assert leaks_of(index, " ".join(ws)) == {i: n for i in split if (n := common_run(ws, split[i])) >= 12}
+
+
+def test_blocks_below_the_threshold_are_skipped():
+    rng = random.Random(9)
+    topics = [[f"t{k}w{i}" for i in range(80)] for k in range(20)]
+    items = [(100 * k + i, " ".join(rng.choices(topics[k], k=40))) for k in range(20) for i in range(30)]
+    index = leakage.Index(items)
+    texts = [(i, leakage.words(items[i * 7][1])[5:25] + [w for t in topics for w in rng.choices(t, k=2)]) for i in range(60)]
+    found = index.leaks(texts)
+    assert found == {(k, i): n for k, ws in texts for i, t in items if (n := common_run(ws, leakage.words(t))) >= 12}
+    assert 0 < index.scored < index.asked / 2
 
 
 def test_leaks_in_documents(spark):
@@ -205,9 +231,15 @@ def test_leaks_in_documents(spark):
     docs = [(1, f"Antet.\n{ITEM}", 5), (2, f"Nimic {wrong} gata", 5), (3, None, 5), (4, "", 5), (1, f"Antet.\n{ITEM}", 5), (5, ITEM.replace(" ", "\n  ").replace("ă", "ă"), 5)]
     df = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(10, ITEM, "x"), (11, None, "x"), (12, "prea scurt", "x")], "item_id long, text string, doc_id string")
+    items = items.union(spark.createDataFrame([(13, ITEM.replace("Minuescu", "Altul"), "x")], items.schema))
     for shard in (leakage.SHARD, 1):
         got = sorted((r.key, r.item_key) for r in leakage.find_leaks(df, "doc_id", "text", items, "item_id", "text", shard=shard).collect())
-        assert got == [(1, 10), (2, 10), (5, 10)]
+        assert got == [(d, i) for d in (1, 2, 5) for i in (10, 13)]
+    assert {r.key for r in leakage.find_leaks(df, "doc_id", "text", items, "item_id", "text", restored=False).collect()} == {1, 5}
+    leaks = leakage.find_leaks(df, "doc_id", "text", items, "item_id", "text")
+    answers = spark.createDataFrame([(10, "antet, nimic"), (13, None)], "item_id long, answer string")
+    shares = {(r.key, r.item_key): r.answer_share for r in leakage.answer_overlap(leaks, df, "doc_id", "text", answers, "item_id", "answer").collect()}
+    assert shares == {(1, 10): 0.5, (2, 10): 0.5, (5, 10): 0.0} | {(d, 13): None for d in (1, 2, 5)}
     assert leakage.find_leaks(df, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     assert leakage.find_leaks(df.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
 

@@ -115,6 +115,39 @@ def test_one_byte_encodings_and_lost_letters(corpus):
     assert mojibake.restore("bicicleta re?inut acolo", corpus) == ("bicicleta reținut acolo", True)
 
 
+@pytest.mark.parametrize("text", ["El señor acolo", "São Paulo", "Łódź", "полиция", "κείμενο"])
+def test_letters_that_the_corpus_does_not_have(corpus, text):
+    for codec in ("latin_1", "cp1252"):
+        assert mojibake.restore("Un text: " + garble(text, codec), corpus) == ("Un text: " + text, True)
+
+
+def test_lost_bytes_are_wildcards(corpus):
+    text = "bicicleta reținut în Vasaposcița și susține după școlar"
+    wrong = garble(text, "cp1252")
+    for place in [i for i, c in enumerate(wrong) if not c.isascii()]:
+        assert mojibake.restore(wrong[:place] + "\ufffd" + wrong[place + 1 :], corpus) == (text, True)
+    by_byte = "".join("\ufffd" * len(c.encode()) if not c.isascii() else c for c in text)
+    assert mojibake.restore(by_byte, corpus) == (text, True)
+
+
+def test_best_way_equals_brute_force(corpus):
+    from itertools import product
+
+    for run, way in (("re\ufffdinu\ufffd", mojibake.LOST), ("\ufffdcolar", mojibake.LOST), ("re\ufffd\ufffdinut", mojibake.LOST_BYTES)):
+        edges = mojibake._edges(run, way, corpus)
+        got, score = mojibake._viterbi(edges, corpus)
+        holes = run.replace("\ufffd\ufffd", "\ufffd") if way == mojibake.LOST_BYTES else run
+        letters = [u for n, us in corpus.alphabet.items() for u in us if way == mojibake.LOST or n == 2]
+        best = (-1e9, "")
+        for fill in product(letters, repeat=holes.count("\ufffd")):
+            it = iter(fill)
+            word = "".join(next(it) if c == "\ufffd" else c for c in holes)
+            padded = "^^" + word + "$"
+            s = sum(corpus.step(padded[i : i + 2], padded[i + 2]) for i in range(len(padded) - 2)) + sum(corpus.bonus(w) for w in mojibake.re.findall(r"[^\W\d_]+", word) if w in corpus.words)
+            best = max(best, (s + (mojibake.SEQUENCE if way == mojibake.LOST_BYTES else 0), word))
+        assert got == best[1] and score == pytest.approx(best[0])
+
+
 @pytest.mark.parametrize("text", [None, "", CLEAN, "(São Valteiro) și (Þorvaldsnes)", "(JOANÃO)", "(¿Quién?) (£ 300)", "Åsmundgård Ærnstrand Ÿvrelle", "requête nº 12", "a" * 50_000])
 def test_sound_text_stays(corpus, text):
     assert mojibake.restore(text, corpus) == (text, False)
