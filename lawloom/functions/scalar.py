@@ -46,7 +46,3 @@ def entity_text(text: Column) -> Column:
     """Trimmed and lower-case; null if nothing is left."""
     return F.nullif(F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")), F.lit(""))
 
-
-def chunk_ids(batch: int, order: Column) -> Column:
-    """The number of the batch of ``batch`` rows in which a row falls, by a dense running number from 1."""
-    return F.floor((order - 1) / batch)

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawloom.functions.scalar import questions_of, terms, uuid5
+from lawloom.operators.models import Model, apply_model, chat_prompt
 from lawloom.schemas import SETTINGS, SPARSE
 
 #: Turns a series of texts into one of vectors; a model is loaded once a task.
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
+SYSTEM = "You read acts and answer with JSON only."
 PROMPT = 'Write %d questions that readers of this passage of an act might have and that it answers, as JSON with a list under "questions".\n\n%s'
 
 
@@ -83,14 +85,23 @@ def sparse_vectors(weights: DataFrame) -> DataFrame:
     return weights.groupBy("key").agg(pairs.alias("p")).select("key", F.struct(F.col("p.i").alias("indices"), F.col("p.w").alias("values")).alias("sparse"))
 
 
-def enrich(units: DataFrame, embedder: Embedder, answer: Callable[[Column], Column] = template_answer, most: int = SETTINGS.questions) -> DataFrame:
+def asked_answers(units: DataFrame, chat: Model, most: int = SETTINGS.questions) -> DataFrame:
+    """Units with the ``answer`` of a chat model that is asked for questions on their content; null where it fails."""
+    prompt = chat_prompt(SYSTEM, question_prompt(F.col("content"), most))
+    return apply_model(units.withColumn("prompt", prompt), "prompt", "answer", chat, "string").drop("prompt")
+
+
+def enrich(units: DataFrame, embedder: Embedder, answer: Callable[[Column], Column] = template_answer, most: int = SETTINGS.questions, chat: Model | None = None) -> DataFrame:
     """Questions and vectors of units; chapters and sections have no questions and no sparse vectors.
 
     Questions without a vector are left out together with it, so texts and vectors stay side by side. Headers are split
-    off before the question stage, as a conditional would run it for them too.
+    off before the question stage, as a conditional would run it for them too. Answers come from an expression, or from
+    a chat model if there is one; an answer that fails or can't be read gives no questions.
     """
     header = F.col("unit_type").isin("chapter", "section")
-    body = units.where(~F.coalesce(header, F.lit(False))).withColumn("hypothetical_questions", questions_of(answer(F.col("content")), most))
+    body = units.where(~F.coalesce(header, F.lit(False)))
+    body = body.withColumn("answer", answer(F.col("content"))) if chat is None else asked_answers(body, chat, most)
+    body = body.withColumn("hypothetical_questions", questions_of(F.col("answer"), most)).drop("answer")
     heads = units.where(header).withColumn("hypothetical_questions", F.array().cast("array<string>"))
     every = embed(body.unionByName(heads), "content", "content_vector", embedder)
     asked = embed(body.select("id", F.posexplode("hypothetical_questions").alias("n", "q")), "q", "v", embedder).where(F.col("v").isNotNull())

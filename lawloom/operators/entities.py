@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.functions.scalar import entity_text
+from lawloom.functions.scalar import entity_text, terms
 from lawloom.operators.enrich import Embedder, embed
 
 GENERAL = "General"
@@ -17,15 +17,18 @@ def gazetteer_entities(units: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """A stand-in for the tagger: phrases of ``gazetteer(phrase, label)`` found as whole words in the content.
 
     Phrases are met by word runs: each unit is exploded into its runs of as many words as phrases have, and these are
-    joined, so the list may be of any size.
+    joined, so the list may be of any size. Punctuation between the words doesn't count; phrases without words are none.
     """
-    listed = gazetteer.select(entity_text(F.col("phrase")).alias("surface_form"), F.col("label").alias("category_label")).where(F.col("surface_form").isNotNull()).distinct()
-    words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    lengths = listed.select(F.collect_set(F.size(F.split("surface_form", " "))).alias("n"))
+    run = terms(F.col("phrase")).alias("run")
+    listed = gazetteer.select(entity_text(F.col("phrase")).alias("surface_form"), F.col("label").alias("category_label"), run)
+    listed = listed.where(F.size("run") > 0).distinct()
+    words = terms(F.col("content"))
+    lengths = listed.select(F.collect_set(F.size("run")).alias("n"))
+    listed = listed.withColumn("run", F.array_join("run", " "))
     split = units.select("id", words.alias("w"), lengths.scalar().alias("lengths")).where((F.size("w") > 0) & (F.size("lengths") > 0))
     runs = F.flatten(F.transform("lengths", lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.struct(i.alias("ord"), F.array_join(F.slice("w", i, n), " ").alias("s")))))
-    found = split.select("id", F.explode(runs).alias("r")).select(F.col("id").alias("source_unit_id"), F.col("r.s").alias("surface_form"), F.col("r.ord").cast("long").alias("ord"))
-    return found.join(listed, "surface_form").select("surface_form", "category_label", "source_unit_id", "ord").distinct()
+    found = split.select("id", F.explode(runs).alias("r")).select(F.col("id").alias("source_unit_id"), F.col("r.s").alias("run"), F.col("r.ord").cast("long").alias("ord"))
+    return found.join(listed, "run").select("surface_form", "category_label", "source_unit_id", "ord").distinct()
 
 
 def dominant_categories(raw: DataFrame) -> DataFrame:
@@ -137,12 +140,17 @@ def concepts(labelled: DataFrame) -> DataFrame:
     return labelled.where(F.col("label") != -1).groupBy("batch_id", "label").agg(name, F.array_sort(F.collect_set("surface_form")).alias("surface_forms"))
 
 
+def anchor() -> Column:
+    """The text by which a form is embedded: behind its category."""
+    return F.concat_ws(": ", "category_label", "surface_form")
+
+
 def resolve_entities(raw: DataFrame, embedder: Embedder) -> dict[str, DataFrame]:
     """Concepts, categories, belongs_to and mentions of ``raw(batch_id, surface_form, category_label, source_unit_id,
     ord)``. A form is embedded behind its dominant category; noise forms give nothing."""
     main = dominant_categories(raw)
     forms = raw.select("batch_id", "surface_form").where(F.col("surface_form").isNotNull()).distinct().join(main, "surface_form")
-    forms = embed(forms.withColumn("anchor", F.concat_ws(": ", "category_label", "surface_form")), "anchor", "vector", embedder)
+    forms = embed(forms.withColumn("anchor", anchor()), "anchor", "vector", embedder)
     labelled = cluster_batches(forms.select("batch_id", "surface_form", "vector"))
     found = concepts(labelled)
     belongs = found.join(main.withColumnRenamed("surface_form", "name"), "name").select(F.col("name").alias("source_concept_name"), F.col("category_label").alias("target_category_name")).distinct()

@@ -62,6 +62,16 @@ def dangling(edges: DataFrame, source: str, sources: DataFrame, source_key: str,
     return all_.select(*edges.columns, which.alias("missing"))
 
 
+def united(new: DataFrame, old: DataFrame, source: str, target: str) -> DataFrame:
+    """Edges of both tables, each pair of ends once; columns of lists hold the different values of both, old ones first."""
+    lists = [c for c in new.columns if c not in (source, target)]
+    every = old.select("*", F.lit(0).alias("_o")).unionByName(new.select("*", F.lit(1).alias("_o")))
+    if not lists:
+        return every.drop("_o").distinct()
+    merged = [F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_o", c))), lambda x, c=c: x[c]))).alias(c) for c in lists]
+    return every.groupBy(source, target).agg(*merged).select(*new.columns)
+
+
 def merge_units(old: DataFrame, new: DataFrame) -> DataFrame:
     """Vertices by id; the new type holds."""
     rows = old.select("id", "unit_type", F.lit(0).alias("o")).unionByName(new.select("id", "unit_type", F.lit(1).alias("o")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lawloom.schemas import UNIT_COLUMNS
+from lawloom.schemas import UNIT_COLUMNS, UNIT_TYPES
 
 # The markers that open a unit, in the order in which they are tried.
 MARKERS = {
@@ -102,11 +102,27 @@ def duplicates(units: DataFrame) -> DataFrame:
 
 
 def as_units(df: DataFrame) -> DataFrame:
+    """The columns of stored units, in their order."""
     return df.select(*UNIT_COLUMNS)
 
 
 def rejected(units: DataFrame) -> DataFrame:
     """Rows that break the declared form: a missing id, type or content, or an unknown type."""
-    from lawloom.schemas import UNIT_TYPES
-
     return units.where(F.col("id").isNull() | F.col("content").isNull() | F.col("unit_type").isNull() | ~F.col("unit_type").isin(*UNIT_TYPES))
+
+
+def rejected_points(points: DataFrame) -> DataFrame:
+    """Points without an id, a unit or a known kind of vector, or without the text that their kind has."""
+    text = F.when(F.col("vector_type") == "content", F.col("content")).when(F.col("vector_type") == "question", F.col("question_text"))
+    return points.where(F.col("point_id").isNull() | F.col("unit_id").isNull() | text.isNull())
+
+
+def rejected_entities(raw: DataFrame) -> DataFrame:
+    """Entities without a form (null or blank), a label or a unit."""
+    blank = F.coalesce(F.trim("surface_form"), F.lit("")) == ""
+    return raw.where(blank | F.col("category_label").isNull() | F.col("source_unit_id").isNull())
+
+
+def rejected_edges(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """Edges without one of their ends, or from a vertex to itself."""
+    return edges.where(F.col(source).isNull() | F.col(target).isNull() | (F.col(source) == F.col(target)))

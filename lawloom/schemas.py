@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, fields
 
 UNIT_TYPES = ("chapter", "section", "article", "prologue", "paragraph", "letter_item", "num_item")
 
@@ -35,5 +36,20 @@ class Settings:
     max_hops: int = 1
     edge_types: tuple[str, ...] = ("PART_OF",)
 
+    @classmethod
+    def load(cls, spark=None) -> Settings:
+        """The defaults, but for what ``spark.lawloom.<name>`` says in the session, or else ``LAWLOOM_<NAME>`` in the environment.
+
+        A value is read as the kind of its default; lists are split at commas; one that can't be read is an error.
+        """
+        given = {}
+        for f in fields(cls):
+            text = spark.conf.get(f"spark.lawloom.{f.name}", None) if spark is not None else None
+            text = os.environ.get(f"LAWLOOM_{f.name.upper()}") if text is None else text
+            if text is not None:
+                kind = type(f.default)
+                given[f.name] = tuple(x.strip() for x in text.split(",") if x.strip()) if kind is tuple else kind(text)
+        return cls(**given)
+
 
 SETTINGS = Settings()

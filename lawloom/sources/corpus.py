@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,22 @@ def split_lines(files: DataFrame, path: str = "path", text: str = "text") -> Dat
 
 
 def read_corpus(spark: SparkSession, directory: str, pattern: str = "*.txt") -> DataFrame:
-    """Lines of the files of a directory (not of its subdirectories) whose name fits; an absent directory is an error."""
+    """Lines of the files of a directory (not of its subdirectories) whose name fits; an absent directory is an error.
+
+    Without a file there is a warning and there are no lines. Files have the order of their paths, which is that of the
+    ``file`` column; see :func:`in_order`.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+    if not files.inputFiles():
+        warnings.warn(f"no files {pattern} in {directory}", stacklevel=2)
     return split_lines(files.select("path", decode(F.col("content")).alias("text")))
 
 
+def in_order(rows: DataFrame, file: str = "file", place: str = "line_no") -> DataFrame:
+    """Rows in the order of the files' paths and of their places in them."""
+    return rows.orderBy(file, place)
+
+
 def read_ontology(spark: SparkSession, path: str) -> DataFrame:
     """``label, n`` in order; a file without labels gives none."""
     doc = spark.read.schema("domain string, version string, description string, labels array<string>").option("multiLine", True).json(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lawloom.functions import scalar
 from lawloom.operators import enrich, entities, graph, parse, reconcile, references, retrieval
 from lawloom.queries import query
+from lawloom.session import materialize
 from lawloom.sources.corpus import clean, split_lines
 from lawloom.sources.store import upserted
 from lawloom.sources.tables import table
@@ -22,6 +23,8 @@ def _round(c: Column) -> Column:
 
 # -- lines, markers, units: the content of law_units in order is the text of its file
 
+# The same markers and citation forms as in the operators, in the dialect of the other engine, whose classes
+# of spaces and digits have to be written out; the constants are theirs.
 SP = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 N = r"\p{Nd}+(?:\.\p{Nd}+)?"
 RE2 = {
@@ -115,9 +118,14 @@ def unit_get(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "law_units").where(F.col("id") == "a12_art_5").select("id", "parent_id", "unit_type", "content")
 
 
-@query("s06_children", "SELECT DISTINCT id, unit_type FROM law_units WHERE parent_id = 'a12_art_5'")
+@query("s06_children", """
+WITH top AS (SELECT parent_id FROM law_units WHERE parent_id IS NOT NULL GROUP BY parent_id ORDER BY count(DISTINCT id) DESC, parent_id LIMIT 1)
+SELECT DISTINCT parent_id, id, unit_type FROM law_units WHERE parent_id IN (SELECT parent_id FROM top)""")
 def children(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "law_units").where(F.col("parent_id") == "a12_art_5").select("id", "unit_type").distinct()
+    """The children of the unit that has most."""
+    units = table(spark, d, "law_units").where(F.col("parent_id").isNotNull()).select("parent_id", "id", "unit_type").distinct()
+    top = units.groupBy("parent_id").agg(F.countDistinct("id").alias("n")).orderBy(F.desc("n"), "parent_id").limit(1)
+    return units.join(F.broadcast(top.select("parent_id")), "parent_id")  # one row
 
 
 @query("s07_ids", "SELECT DISTINCT id FROM law_units")
@@ -278,7 +286,7 @@ def k_hop(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("g08_concept_walk", _MEN + """SELECT DISTINCT u.id, count(DISTINCT m.name) AS n_concepts FROM (SELECT DISTINCT id FROM law_units) u JOIN m ON m.source_unit_id = u.id
-  WHERE m.name IN (SELECT name FROM v_concept WHERE concept_id % 2 = 0) GROUP BY u.id""")
+  GROUP BY u.id""")
 def concept_walk(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "v_concept").select("name")
     return graph.concept_walk(names, _mentions(spark, d), table(spark, d, "law_units")).select("id", "n_concepts").distinct()
@@ -310,19 +318,28 @@ def belongs_to(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "v_concept").select("name").join(main, "name", "left").select(F.col("name").alias("source_concept_name"), F.coalesce("category_label", F.lit(entities.GENERAL)).alias("target_category_name")).distinct()
 
 
-PHRASES = [("camionul frigorific", "Tip Vehicul"), ("remorca albastră", "Tip Vehicul"), ("motocicleta neînmatriculată", "Tip Vehicul"), ("amprenta frânei", "Stare Tehnică Vehicul"), ("semaforul defect", "Semnalizare Rutieră")]
-
-
-@query("p12_m07_gazetteer")
+@query("p12_m07_f19_gazetteer", """
+WITH p AS (SELECT DISTINCT lower(trim(f)) AS s, label, list_filter(regexp_split_to_array(lower(f), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ps FROM
+  (SELECT unnest(list_append(surface_forms, name)) AS f, name AS label FROM v_concept UNION ALL SELECT name, coalesce(law_type, 'Act') FROM v_external)),
+lengths AS (SELECT DISTINCT len(ps) AS n FROM p WHERE len(ps) > 0),
+u AS (SELECT DISTINCT id, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM law_units WHERE content IS NOT NULL),
+r AS (SELECT id, n, ws, unnest(range(1, greatest(1, len(ws) - n + 1) + 1)) AS ord FROM u, lengths WHERE len(ws) > 0)
+SELECT DISTINCT s AS surface_form, label AS category_label, id AS source_unit_id, ord FROM (SELECT id, ord, array_to_string(ws[ord:ord + n - 1], ' ') AS run FROM r) JOIN p ON run = array_to_string(ps, ' ')""")
 def gazetteer(spark: SparkSession, d: str) -> DataFrame:
-    return entities.gazetteer_entities(table(spark, d, "law_units"), spark.createDataFrame(PHRASES, "phrase string, label string"))
+    """All names and known spellings of concepts, and all names of external laws, wherever the units have them."""
+    c, e = table(spark, d, "v_concept"), table(spark, d, "v_external")
+    phrases = c.select(F.explode(F.array_append("surface_forms", F.col("name"))).alias("phrase"), F.col("name").alias("label"))
+    phrases = phrases.unionByName(e.select(F.col("name").alias("phrase"), F.coalesce("law_type", F.lit("Act")).alias("label")))
+    return entities.gazetteer_entities(table(spark, d, "law_units"), phrases)
 
 
 @query("m08_hdbscan")
 def hdbscan(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    forms = e.select(F.floor(F.col("vec_id") / 50).alias("batch_id"), F.col("vec_id").cast("string").alias("surface_form"), F.col("embedding").alias("vector"))
-    return entities.cluster_batches(forms)
+    """Clusters of the forms of each message's units."""
+    raw = table(spark, d, "raw_entities").where(F.col("source_unit_id").isNotNull() & F.col("surface_form").isNotNull())
+    of = reconcile.numbered_batches(raw.select(F.col("source_unit_id").alias("id")).distinct(), 50)
+    forms = raw.select(F.col("source_unit_id").alias("id"), "surface_form").join(of, "id").select(F.col("batch").alias("batch_id"), "surface_form").distinct()
+    return entities.cluster_batches(enrich.embed(forms, "surface_form", "vector", enrich.hash_embedder(64)))
 
 
 # -- points and enrichment
@@ -341,7 +358,10 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return enrich.to_points(whole).select("point_id", "unit_id", "unit_type", "vector_type", "question_text", F.size("dense").alias("size"))
 
 
-@query("m01_enriched")
+@query("p04_p05_m01_enriched", """
+WITH u AS (SELECT id, arg_max([unit_type], loaded_at)[1] AS unit_type, arg_max([content], loaded_at)[1] AS content FROM law_units WHERE id IS NOT NULL GROUP BY id),
+c AS (SELECT id, coalesce(unit_type IN ('chapter', 'section'), false) AS header, trim(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) <> '' AS has_text, list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS ts FROM u WHERE content IS NOT NULL)
+SELECT id, CASE WHEN header THEN 0 ELSE 3 END AS n_questions, CASE WHEN has_text THEN 64 END AS n_dense, CASE WHEN header THEN 0 ELSE 3 END AS n_question_vectors, CASE WHEN NOT header AND len(ts) > 0 THEN len(ts) END AS n_terms FROM c""")
 def enriched(spark: SparkSession, d: str) -> DataFrame:
     u = parse.last_wins(table(spark, d, "law_units").select("id", "parent_id", "unit_type", "content", "meta_info", "loaded_at"), "loaded_at").where(F.col("content").isNotNull())
     out = enrich.enrich(u, enrich.hash_embedder(64))
@@ -411,22 +431,45 @@ def sparse_top(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.sparse_top(_weights(spark, d), TEXT, 10, n=enrich.documents_with_terms(table(spark, d, "documents"), "text")).select(F.col("key").alias("doc_id"), _round(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("r02_j09_hybrid", BM25_SQL.replace("WITH d AS", f"WITH {DENSE_SQL}, d AS") + """, f AS (SELECT k, sum(1 / (rank - 1 + 2.0e0)) AS s FROM (SELECT vec_id AS k, rank FROM dt UNION ALL SELECT doc_id, rank FROM st) GROUP BY k)
-SELECT k AS doc_id, round(s, 6) AS fusion_score FROM f ORDER BY s DESC, k LIMIT 5""")
+_HYBRID_SQL = """
+WITH u AS (SELECT id, arg_max([unit_type], loaded_at)[1] AS unit_type, arg_max([content], loaded_at)[1] AS content, arg_max([embedding], loaded_at)[1] AS e FROM law_units WHERE id IS NOT NULL GROUP BY id),
+q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
+v AS (SELECT id, CAST(e AS DOUBLE[]) AS v FROM u WHERE unit_type = 'paragraph' AND len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+dt AS (SELECT id, row_number() OVER (ORDER BY round(list_cosine_similarity(v, q), 9) DESC, id) AS rank FROM v, q QUALIFY rank <= 10),
+t AS (SELECT id, unit_type, len(ts) AS dl, unnest(ts) AS term FROM (SELECT id, unit_type, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ts FROM u WHERE content IS NOT NULL)),
+w AS (SELECT id, unit_type, term, count(*) * 2.2e0 / (count(*) + 1.2e0 * (0.25e0 + 0.75e0 * dl / 256)) AS weight FROM t GROUP BY id, unit_type, dl, term),
+idf AS (SELECT term, ln(1 + ((SELECT count(DISTINCT id) FROM w) - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf FROM w GROUP BY term),
+s AS (SELECT id, sum(weight * idf) AS score FROM w JOIN idf USING (term) WHERE unit_type = 'paragraph' AND term IN ('remorca', 'albastră', 'semaforul', 'art') GROUP BY id),
+st AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 10),
+f AS (SELECT id, sum(1 / (rank - 1 + 2.0e0)) AS fusion FROM (SELECT * FROM dt UNION ALL SELECT * FROM st) GROUP BY id)
+"""
+
+
+def _points_of_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units as points: their own vectors, and sparse vectors of their content."""
+    u = parse.last_wins(table(spark, d, "law_units").select("id", "parent_id", "unit_type", "content", "embedding", "loaded_at").where(F.col("id").isNotNull()), "loaded_at")
+    sparse = enrich.sparse_vectors(enrich.term_weights(u.where(F.col("content").isNotNull()), "id", "content")).withColumnRenamed("key", "id")
+    return u.join(sparse, "id", "left").select(
+        F.col("id").alias("point_id"), F.col("id").alias("unit_id"), "unit_type", F.lit("content").alias("vector_type"), "content", F.lit(None).cast("string").alias("question_text"), "parent_id", F.col("embedding").alias("dense"), "sparse"
+    )
+
+
+@query("p15_r02_j09_hybrid", _HYBRID_SQL + "SELECT id AS unit_id, round(fusion, 6) AS fusion_score FROM f ORDER BY fusion DESC, id LIMIT 5")
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
-    dense = _dense(spark, d).select(F.col("vec_id").alias("key"), "rank")
-    fused = retrieval.fuse(dense, retrieval.sparse_top(_weights(spark, d), TEXT, 10, n=enrich.documents_with_terms(table(spark, d, "documents"), "text")))
-    return fused.orderBy(F.desc("fusion_score"), "key").limit(5).select(F.col("key").alias("doc_id"), _round(F.col("fusion_score")).alias("fusion_score"))
+    points = materialize(_points_of_units(spark, d), "points")
+    request = retrieval.Request("Remorca albastră, semaforul: art", _vector(spark, d), {"unit_type": "paragraph"})
+    return retrieval.HybridStrategy(points).search(request).select("unit_id", _round(F.col("fusion_score")).alias("fusion_score"))
 
 
 @query("w03_batch_top", """
-WITH s AS (SELECT a.label AS query, b.vec_id AS key, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) a, embeddings b)
+WITH s AS (SELECT a.vec_id AS query, b.vec_id AS key, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
 SELECT query, key, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, key) AS rank FROM s QUALIFY rank <= 5""")
 def batch_top(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors of a stated set, those whose vec_id is divisible by 100, among all."""
     e = table(spark, d, "embeddings")
-    asked = F.broadcast(e.groupBy(F.col("label").alias("query")).agg(F.min_by("embedding", "vec_id").alias("q")))  # a stated set: one vector a label
-    scored = e.join(asked).select("query", F.col("vec_id").alias("key"), scalar.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    return retrieval.batch_top(scored, "query", "key", 5).select("query", "key", _round(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+    asked = [(r["vec_id"], r["embedding"]) for r in e.where(F.col("vec_id") % 100 == 0).select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()]
+    found = retrieval.nearest(e, asked, 5, "vec_id", "embedding")
+    return found.select("query", F.col("vec_id").alias("key"), _round(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("p16_p17_console", """SELECT point_id, CASE WHEN length(t) > 100 THEN substr(t, 1, 100) || '...' ELSE t END AS snippet FROM (SELECT point_id, coalesce(nullif(content, ''), question_text, '') AS t FROM points)""")
