@@ -14,15 +14,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lawloom.llm.bktree import distances, encode
-from lawloom.llm.canonical import ENDINGS, allowed, tokens
+from lawloom.llm.canonical import ENDINGS, allowed, stems, tokens
 from lawloom.session import materialize, spread
 
 #: Members of a slice of a block; a larger block is compared slice by slice.
 HUBS = 32
-#: Lengths of the beginnings that an abbreviation can have.
-ABBREVIATED = range(3, 8)
+#: The least letters of an abbreviation.
+ABBREVIATED = 3
 #: The cost up to which two forms are neighbours.
 CUTOFF = 4.0
+#: A form is a peak if no denser one is its neighbour, or if the nearest denser one is farther than APART and it has at
+#: least the share PEAK of its density: then both are terms of their own.
+APART, PEAK = 3.0, 0.5
 _PENTRU = "pentru"  # the one longer connecting word; its misspellings count as connecting words too
 _DE = frozenset(["dee", "dde", "ede"])  # misspellings of the short one that are too long to fall away as such
 
@@ -32,7 +35,7 @@ def content_words(form: str) -> list[str]:
     ts = [t for t in tokens(form) if len(t.rstrip(".")) > 2]
     ts = [t.removesuffix(_PENTRU) if len(t) > 9 and t.endswith(_PENTRU) else t.removeprefix(_PENTRU) if len(t) > 9 else t for t in ts]
     if len(ts) > 3:
-        weak = [t for t in ts if t in _DE or t[-1] == "." and _PENTRU.startswith(t[:-1]) or len(t) >= 4 and _near_pentru(t)]
+        weak = [t for t in ts if t in _DE or t[-1] == "." and _PENTRU.startswith(t[:-1]) or len(t) >= 4 and (_near_pentru(t) or any(_near_pentru(s) for s in stems(t) if len(s) >= 5))]
         for t in weak[: len(ts) - 2]:
             ts.remove(t)
     return sorted(ts)
@@ -82,8 +85,8 @@ def asked_keys(words: Sequence[str]) -> set[int]:
 
 
 def answered_keys(words: Sequence[str]) -> set[int]:
-    """Blocks in which a form can be found by an abbreviation of one of its words."""
-    return {_hash(f"4|{u.rstrip('.')}|{v[:n]}") for v in words if v[-1] != "." for u in words if u is not v for n in ABBREVIATED if n < len(v)}
+    """Blocks in which a form can be found by an abbreviation of one of its words, itself abbreviated less or not."""
+    return {_hash(f"4|{u.rstrip('.')}|{v[:n]}") for v in words for u in words if u is not v for n in range(ABBREVIATED, len(v.rstrip(".")))}
 
 
 def _roots(word: str, least: int = 4) -> set[str]:
@@ -185,6 +188,12 @@ class Clusters:
         b = self.members.select(F.col("form").alias("form_b"), "cluster")
         return a.join(b, "cluster").where(F.col("form_a") < F.col("form_b")).select("form_a", "form_b")
 
+    def links(self) -> DataFrame:
+        """form, representative: each form with the peak's first form of its cluster. Two forms write one term if they have
+        the same, so this says what :meth:`pairs` says with a row for each form."""
+        first = self.members.where("is_peak").groupBy("cluster").agg(F.min("form").alias("representative"))
+        return self.members.select("form", "cluster").join(first, "cluster").select("form", "representative")
+
     def describe(self, typical: int = 3) -> DataFrame:
         """cluster, size and its most typical forms: the densest, of these lower-case and short ones first."""
         rank = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("density"), F.col("form") != F.lower("form"), F.length("form"), "form"))
@@ -206,14 +215,14 @@ def _neighbours(reps: DataFrame) -> DataFrame:
     asks = reps.where(short).mapInArrow(lambda bs: _keys(bs, asked_keys), schema).select("block", F.col("id").alias("a"))
     answers = reps.mapInArrow(lambda bs: _keys(bs, answered_keys), schema).select("block", "id")
     extra = asks.join(answers, "block").where(F.col("a") != F.col("id")).select("a", "id")
-    block = W.partitionBy("block")
-    ranked = reps.mapInArrow(lambda bs: _keys(bs, block_keys), schema)
-    ranked = ranked.withColumn("rank", F.row_number().over(block.orderBy(F.desc("forms"), "id"))).withColumn("n", F.count("*").over(block)).where("n > 1")
-    ranked = materialize(ranked.drop("forms"), "blocks")
-    own, last = F.floor((F.col("rank") - 1) / HUBS), F.floor((F.col("n") - 1) / HUBS)
-    first = ranked.select("block", own.alias("i"), F.explode(F.sequence(own, last)).alias("j"), F.col("id").alias("a"), F.col("rank").alias("rank_a"))
-    second = ranked.select("block", F.explode(F.sequence(F.lit(0).cast("long"), own)).alias("i"), own.alias("j"), "id", "rank")
-    pairs = first.join(second, ["block", "i", "j"]).where(F.col("rank_a") < F.col("rank")).select("a", "id").unionByName(extra)
+    keyed = materialize(reps.mapInArrow(lambda bs: _keys(bs, block_keys), schema).select("block", "id"), "keys")
+    sizes = keyed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    slices = F.ceil(F.col("n") / HUBS)
+    placed = materialize(keyed.join(sizes, "block").select("block", "id", slices.alias("slices"), F.pmod(F.xxhash64("id"), slices).alias("own")), "blocks")
+    own, last = F.col("own"), F.col("slices") - 1
+    first = placed.select("block", own.alias("i"), F.explode(F.sequence(own, last)).alias("j"), F.col("id").alias("a"))
+    second = placed.select("block", F.explode(F.sequence(F.lit(0).cast("long"), own)).alias("i"), own.alias("j"), "id")
+    pairs = first.join(second, ["block", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("id"))).select("a", "id").unionByName(extra)
     pairs = pairs.select(F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y")).distinct()
     pairs = pairs.join(lookup.select(F.col("id").alias("x"), F.col("spelling").alias("sa")), "x").join(lookup.select(F.col("id").alias("y"), F.col("spelling").alias("sb")), "y")
     return spread(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "sa", "sb"), "a").mapInArrow(_verify, "a long, b long, cost double")
@@ -224,8 +233,9 @@ def cluster_forms(pool: DataFrame, form: str) -> Clusters:
 
     Forms are read as their content words, folded; forms with the same words are one spelling. Neighbours of a spelling
     are found by a blocked join (see :func:`block_keys`) and a check of the words one by one. Its density is the number
-    of forms it has plus those of its neighbours, nearer ones counting more; it points to its nearest denser neighbour,
-    and has none at a peak. Following the pointers, by doubling, leads every form to its peak. All steps are joins on
+    of forms it has plus those of its neighbours, nearer ones counting more; its distance is the cost to its nearest
+    denser neighbour. Peaks are chosen by both: nothing denser is near, or only what is far and not much denser (see
+    ``APART``). All others point to their nearest denser neighbour. Following the pointers, by doubling, leads every form to its peak. All steps are joins on
     blocks and ids; nothing grows on the driver.
 
     Defined cases: null forms are left out; forms without content words (blank, numbers) are clusters of their own;
@@ -246,7 +256,10 @@ def cluster_forms(pool: DataFrame, form: str) -> Clusters:
     a = dense.select(F.col("id").alias("a"), F.struct("density", (-F.col("id")).alias("i")).alias("da"))
     b = dense.select(F.col("id").alias("b"), F.struct("density", (-F.col("id")).alias("i")).alias("db"))
     up = both.join(a, "a").join(b, "b").where(F.col("db") > F.col("da"))
-    up = up.groupBy(F.col("a").alias("id")).agg(F.min(F.struct("cost", (-F.col("db.density")).alias("d"), "b")).alias("m")).select("id", F.col("m.b").alias("to"))
+    up = up.groupBy(F.col("a").alias("id"), F.col("da.density").alias("own")).agg(F.min(F.struct("cost", (-F.col("db.density")).alias("d"), "b")).alias("m"))
+    # by density and distance: what is far from anything denser, and not much less dense, is a peak
+    apart = (F.col("m.cost") > APART) & (F.col("own") >= PEAK * -F.col("m.d"))
+    up = up.where(~apart).select("id", F.col("m.b").alias("to"))
     state = materialize(dense.join(up, "id", "left").select("id", "density", F.coalesce("to", "id").alias("to")), "pointers")
     while True:
         ahead = state.select(F.col("id").alias("to"), F.col("to").alias("next"))

@@ -59,6 +59,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d).pairs()
 
 
+@query("p2_links")
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters as membership: each form with the representative of its cluster."""
+    return _clusters(spark, d).links()
+
+
 @query("p2_clusters")
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d).describe()

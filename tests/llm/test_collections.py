@@ -11,7 +11,7 @@ from lawloom.llm import queries as llm_queries
 
 TERMS = [("senzor de pevivastrand jarbend", ["Senzor De Pevivastrand Jarbend", "senzzor de pevivastrand jarbend", "snezor de pvivastrand jarbend", "senzor ed pevivastrand jarbend", "senzor de peviv. jarbend", "27. senzor de pevivastrand jarbend",
           "jarbend, senzor pevivastrand", "senzor_de_pevivastrand_jarbend", "senzorului de pevivastrand jarbend", "senzorpevivastrand jarbend", "sеnzоr de pevivastrand jarbend"]),
-         ("senzor de pevivastrand molugor", ["senzor de pevivastrand mo1ugor"]), ("fișă pentru zivotan lumireg", ["fișele pentru zivotan lumireg", "fsiă pentru zivotan lumireg"]), ("senzor de pevivastrand jarbend (alt tip)", [])]
+         ("senzor de pevivastrand molugor", ["senzor de pevivastrand mo1ugor"]), ("fișă pentru zivotan lumireg", ["fișele pentru zivotan lumireg", "fișă pentrului zivotan lumireg", "fsiă pentru zivotan lumireg"]), ("senzor de pevivastrand jarbend (alt tip)", [])]
 
 
 def test_spellings_of_a_term_form_a_cluster(spark):
@@ -25,11 +25,28 @@ def test_spellings_of_a_term_form_a_cluster(spark):
     assert {(a, b) for a in members for b in members if a < b and members[a] == members[b]} == {(a, b) for a in of for b in of if a < b and of[a] == of[b]}
     pairs = {tuple(r) for r in c.pairs().collect()}
     assert pairs == {(a, b) for a in of for b in of if a < b and of[a] == of[b]}
+    links = {r.form: r.representative for r in c.links().collect()}
+    assert set(links) == set(of) and all((links[a] == links[b]) == (of[a] == of[b]) for a in of for b in of)
     described = c.describe().orderBy(F.desc("size")).first()
     assert described["size"] == 12 and TERMS[0][0] in described["typical_forms"] and len(described["typical_forms"]) == 3
     assert density.cluster_forms(df.select("form").limit(0), "form").pairs().count() == 0
 
 
+def test_abbreviations_meet_each_other(spark):
+    forms = ["senzor pevivas. jarb.", "senzor peviv. jarbend", "senz. pevivastra. jarbend"]
+    c = density.cluster_forms(spark.createDataFrame([(f,) for f in forms], "form string"), "form")
+    assert c.pairs().count() == 3
+
+
+def test_peaks_by_density_and_distance(spark):
+    # two terms one edit too many apart for one, each with spellings of its own, and a lone spelling as far from the first
+    near = {"abcdefghijkl mnopqr stuvwx": 5, "abcdefghxyzw mnopqr stuvwx": 4}
+    forms = [f"{t}{' ' * (i + 1)}(nr. {i})" for t, n in near.items() for i in range(n)] + ["abcdzzzzijkl mnopqr stuvwx"]
+    c = density.cluster_forms(spark.createDataFrame([(f,) for f in forms], "form string"), "form")
+    of = {r.form: r.cluster for r in c.members.collect()}
+    assert len({of[f] for f in forms[:5]}) == len({of[f] for f in forms[5:9]}) == 1 and of[forms[0]] != of[forms[5]] and of[forms[9]] == of[forms[0]]
+
+
 def test_a_block_larger_than_its_hubs(spark, monkeypatch):
     rng = random.Random(5)
     term = "aparat notificarelor expirat"
