@@ -50,6 +50,19 @@ def test_lookalikes_are_found_and_normalized(text):
     assert fixed == ODD[text] and lookalikes.normalize(fixed) == fixed and not lookalikes.suspicious(fixed)
 
 
+PUBLISHED = {"Ꭺctul": "Actul", "Ꮲrima": "Prima", "ⲟra": "ora", "ꓮctul": "Actul", "ɴorma": "norma", "Ϲу și legea": "Cy și legea", "Ӏegea": "legea", "ӀNAINTE": "INAINTE", "ꓮꓐ și legea": "AB și legea"}
+
+
+@pytest.mark.parametrize("text", PUBLISHED)
+def test_lookalikes_of_the_published_data(spark, text):
+    table = lookalikes.Table(lookalikes.published(spark))
+    assert len(table.letters) > 250
+    fixed = lookalikes.normalize(text, table)
+    assert lookalikes.suspicious(text, table) and fixed == PUBLISHED[text] and not lookalikes.suspicious(fixed, table)
+    for ordinary in ORDINARY:
+        assert not lookalikes.suspicious(ordinary, table) and lookalikes.normalize(ordinary, table) == ordinary
+
+
 def test_prefilter_lets_all_odd_texts_through(spark):
     rows = [(i, t, "clash") for i, t in enumerate([*ORDINARY, *ODD, next(iter(ODD))])]
     df = spark.createDataFrame(rows, "id long, content string, row_key string")
