@@ -35,6 +35,8 @@ SEQUENCE = 3.0
 SURE = 10.0
 #: Encodings under which UTF-8 was read, written as UTF-8, and read again: pairs of these.
 TWICE = ("cp1252", "latin_1", "cp1250")
+#: Log-odds between two ways to one place from which the worse is given up: the most frequent word speaks for itself with 14.
+BEHIND = 30.0
 #: What an unseen character costs, as a share of all characters; and how often wrong encodings are undone one after another.
 UNSEEN, ROUNDS = 1e-7, 6
 
@@ -69,7 +71,14 @@ def _read(text: str, codec: str) -> str:
 
 
 def _class(chars: Iterable[str]) -> str:
-    return "[" + "".join(rf"\x{{{ord(c):X}}}" for c in sorted(chars)) + "]"
+    """A class of characters for a pattern, by ranges."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{a:X}}}" if a == b else rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
 #: Bytes that begin a UTF-8 sequence of two, three and four bytes, and those that go on with one.
@@ -89,11 +98,12 @@ def _python(pattern: str) -> re.Pattern[str]:
 
 
 _SEQUENCE = {c: _python(_sequences(c)) for c in MULTI}
-_SEQUENCES = "|".join(_sequences(c) for c in MULTI)
 #: Two characters of which the first can begin and the second go on with a sequence, whatever the encodings: a quick look.
 _QUICK = _class({_BACK[c][b] for c in MULTI for n in _LEADS for b in _LEADS[n]}) + _class({_BACK[c][b] for c in MULTI for b in _GOING_ON})
-#: Runs without a space that hold a character beyond ASCII, or lost ones. A space is one of ASCII: others can be bytes.
-_RUN = re.compile(r"(?<![!-~])[!-~]*(?:[^\x00-\x7F]|(?<=[A-Za-z])\?(?=[A-Za-z]))[^\x00-\x20\x7F]*")
+_SEQUENCES = f"(?={_QUICK})(?:{'|'.join(_sequences(c) for c in MULTI)})"
+#: Runs without a space; a space is one of ASCII, as others can be bytes.
+_RUN = re.compile(r"[^\x00-\x20\x7F]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _LOST_SIGN = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
 _ONE_MARK = re.compile(rf"(?<!{LOST}){LOST}(?!{LOST})")
 _DIGITS = str.maketrans("123456789", "000000000")
@@ -149,7 +159,11 @@ class Corpus:
         self.swap_signs = "".join(sorted({w for t in self.swaps.values() for w in t}))
         self.swap_pattern = {p: re.compile(f"[{re.escape(''.join(t))}]") for p, t in self.swaps.items()}
         self.odd = re.compile(f"[{re.escape(self.swap_signs)}]") if self.swap_signs else None
-        self.cache: dict[tuple[str, object], tuple[str, float]] = {}
+        self.cache: dict[tuple, tuple[str, float]] = {}
+        self.plain: dict[str, float] = {}
+        self.wild: dict[tuple[str, int], list[str]] = {}
+        self.readings: dict[str, list[tuple[object, str, float, bool]]] = {}
+        self.small: dict[str, str] = {}
         self.steps: dict[str, float] = {}
 
     def share(self, ch: str) -> float:
@@ -169,17 +183,24 @@ class Corpus:
             s = self.steps[t] = math.log(p)
         return s
 
+    def following(self, before: str, size: int) -> list[str]:
+        """Characters of so many bytes that a lost one after ``before`` can have been: those that ever followed it."""
+        key = (before, size)
+        if key not in self.wild:
+            self.wild[key] = [u for u in self.alphabet[size] if before + u in self.one] or self.alphabet[size]
+        return self.wild[key]
+
     def bonus(self, word: str) -> float:
         """What it speaks for a word of several letters that the corpus has it, by how often in a million words."""
         return 0.0 if len(word) < 2 else math.log1p(1e6 * self.words.get(word, 0) / self.n_words)
 
 
-def _edges(run: str, channel: object, corpus: Corpus) -> list[list[tuple[int, str]]]:
+def _edges(run: str, channel: object, corpus: Corpus) -> list[list[tuple[int, str | int]]]:
     """The lattice of a run: at each place the readings that begin there, as (where they end, what they read).
 
     ``channel`` is an encoding that UTF-8 was mistaken for, a pair of encodings of one byte, or LOST or LOST_BYTES for
     lost characters, each with a mark of its own or with one for each of its bytes. A lost byte inside a sequence is a wildcard: it goes with every character of the
-    corpus' alphabet whose other bytes are there.
+    corpus' alphabet whose other bytes are there. A wildcard for a whole character is given by its number of bytes.
     """
     n = len(run)
     edges: list[list[tuple[int, str]]] = [[(i + 1, run[i])] for i in range(n)]
@@ -187,6 +208,8 @@ def _edges(run: str, channel: object, corpus: Corpus) -> list[list[tuple[int, st
         table = _BYTES[channel]
         data = [table.get(c, 0 if c != LOST else None) for c in run]
         for i, b in enumerate(data):
+            if b is not None and b < 0xC2:
+                continue
             for size, leads in _LEADS.items():
                 part = data[i : i + size]
                 if len(part) < size or not (b is None or b in leads) or not all(x is None or x in _GOING_ON for x in part[1:]):
@@ -208,10 +231,10 @@ def _edges(run: str, channel: object, corpus: Corpus) -> list[list[tuple[int, st
                 marks = next((k for k in range(i, n) if run[k] != LOST), n) - i
                 for size, chars in corpus.alphabet.items():
                     k = size if channel == LOST_BYTES else 1
-                    if k <= marks:
-                        edges[i] += [(i + k, u) for u in chars]
+                    if k <= marks and chars:
+                        edges[i].append((i + k, size))
             elif c == "?" and 0 < i < n - 1 and run[i - 1].isalpha() and run[i + 1].isalpha():
-                edges[i] += [(i + 1, u) for chars in corpus.alphabet.values() for u in chars if u.isalpha()]
+                edges[i] += [(i + 1, size) for size in corpus.alphabet]
     else:
         swap = corpus.swaps[channel]
         for i, c in enumerate(run):
@@ -220,35 +243,51 @@ def _edges(run: str, channel: object, corpus: Corpus) -> list[list[tuple[int, st
     return edges
 
 
-def _viterbi(edges: list[list[tuple[int, str]]], corpus: Corpus, sequence: float = SEQUENCE) -> tuple[str, float]:
+def _expanded(edges: list[tuple[int, str | int]], before: str, corpus: Corpus) -> Iterator[tuple[int, str]]:
+    for j, u in edges:
+        if isinstance(u, str):
+            yield j, u
+        else:
+            for ch in corpus.following(before, u):
+                yield j, ch
+
+
+def _viterbi(edges: list[list[tuple[int, str | int]]], corpus: Corpus, sequence: float = SEQUENCE) -> tuple[str, float]:
     """The best way through a lattice: its text and log-probability.
 
     A state is a place, the last two characters, and the beginning of a word of the lexicon that the letters since the
-    last sign are; one way a state is kept, which is exact.
+    last sign are; one way a state is kept. Left out are ways that are further behind than ``BEHIND``, which no word makes
+    up for.
     """
-    lexicon, step = corpus.lexicon, corpus.step
-    n = len(edges)
+    lexicon, step, known_steps, small = corpus.lexicon, corpus.step, corpus.steps, corpus.small
+    n, words = len(edges), len(lexicon)
     at: list[dict[tuple[str, str | None], tuple[float, str, int, int]]] = [{} for _ in range(n + 1)]
-    at[0]["^^", ""] = (0.0, "", 0, len(lexicon))
+    at[0]["^^", ""] = (0.0, "", 0, words)
     for i in range(n):
-        for (context, prefix), (score, out, lo, hi) in at[i].items():
-            for j, u in edges[i]:
-                low = u.lower().translate(_DIGITS)
+        here, states = edges[i], at[i]
+        least = max(v[0] for v in states.values()) - BEHIND if len(states) > 1 else -math.inf
+        for (context, prefix), (score, out, lo, hi) in states.items():
+            if score < least:
+                continue
+            for j, u in here if len(here) == 1 else _expanded(here, context[1], corpus):
+                low = small.get(u) or small.setdefault(u, u.lower().translate(_DIGITS))
                 c, s, p, a, b = context, score + (sequence if j > i + 1 else 0.0), prefix, lo, hi
                 for ch in low:
-                    s += step(c, ch)
-                    c = c[1] + ch
+                    t = c + ch
+                    x = known_steps.get(t)
+                    s += step(c, ch) if x is None else x
+                    c = t[1:]
                     if not ch.isalpha():
                         if p:
                             s += corpus.bonus(p)
-                        p, a, b = "", 0, len(lexicon)
+                        p, a, b = "", 0, words
                     elif p is not None:
                         p += ch
                         a = bisect_left(lexicon, p, a, b)
-                        b = bisect_left(lexicon, p + "\U0010ffff", a, b)
-                        if a == b:
+                        # the beginning of a word is kept only while a word of the lexicon begins so
+                        if a == b or not lexicon[a].startswith(p):
                             p = None
-                if u == LOST or u == "?" and len(edges[i]) > 1:
+                if u == LOST or u == "?" and len(here) > 1:
                     s -= 50.0  # only if nothing else is left
                 known = at[j].get((c, p))
                 if known is None or s > known[0]:
@@ -262,6 +301,20 @@ def _viterbi(edges: list[list[tuple[int, str]]], corpus: Corpus, sequence: float
     return best
 
 
+def _plain(run: str, corpus: Corpus) -> float:
+    """The log-probability of a run as it stands."""
+    if run not in corpus.plain:
+        if len(corpus.plain) > 1 << 17:
+            corpus.plain.clear()
+        padded = "^^" + run.lower().translate(_DIGITS) + "$"
+        steps, s = corpus.steps, 0.0
+        for i in range(len(padded) - 2):
+            x = steps.get(padded[i : i + 3])
+            s += corpus.step(padded[i : i + 2], padded[i + 2]) if x is None else x
+        corpus.plain[run] = s + sum(map(corpus.bonus, _LETTERS.findall(padded[2:-1]))) - 50.0 * run.count(LOST)
+    return corpus.plain[run]
+
+
 def _reread(sequence: str, codec: str) -> str:
     table = _BYTES[codec]
     return bytes(table[c] for c in sequence).decode(errors="replace")
@@ -269,50 +322,72 @@ def _reread(sequence: str, codec: str) -> str:
 
 def _decode(run: str, channel: object, corpus: Corpus) -> tuple[str, float]:
     """A run as read through a channel, and the log-odds of this reading against the run as it stands."""
-    key = (run, channel)
-    if key not in corpus.cache:
-        if len(corpus.cache) > 1 << 17:
+    found = corpus.cache.get((run, channel))
+    if found is None:
+        if len(corpus.cache) > 1 << 18:
             corpus.cache.clear()
-        once = run
-        if channel in _PAIRS:
-            once, channel = _SEQUENCE[channel[1]].sub(lambda m: _reread(m.group(), channel[1]), run), channel[2]
-        edges = _edges(once, channel, corpus)
+        found = corpus.cache[run, channel] = _best(run, channel, corpus)
+    return found
+
+
+def _best(run: str, channel: object, corpus: Corpus) -> tuple[str, float]:
+    once = run
+    if channel in _PAIRS:
+        first, channel = channel[1:]
+        once = _SEQUENCE[first].sub(lambda m: _reread(m.group(), first), run)
+    if channel in _BYTES and LOST not in once and once.isascii():
+        return run, 0.0
+    edges = _edges(once, channel, corpus)
+    if all(len(e) == 1 for e in edges):
+        return run, 0.0
+    # encodings often agree on what a run can be
+    key = (run, once, tuple((i, *e[1:]) for i, e in enumerate(edges) if len(e) > 1))
+    if key not in corpus.cache:
         text, score = _viterbi(edges, corpus)
-        plain = score if text == run else _viterbi([[(i + 1, c)] for i, c in enumerate(run)], corpus)[1]
-        if channel in _BYTES and score - plain > ODDS:
+        odds = score - _plain(run, corpus)
+        if channel in _BYTES and odds > ODDS and _SEQUENCE[channel].search(text):
             text = _viterbi(edges, corpus, SURE)[0]
-        corpus.cache[key] = (text, score - plain)
+        corpus.cache[key] = (text, odds)
     return corpus.cache[key]
 
 
+def _readings(run: str, corpus: Corpus) -> list[tuple[object, str, float, bool]]:
+    """The channels through which a run reads better than as it stands: with what it reads then, the log-odds, and
+    whether the run holds a whole sequence or letter of the encoding (else it only goes along with others)."""
+    known = corpus.readings.get(run)
+    if known is None:
+        known = []
+        for channel in (*MULTI, *_PAIRS, *corpus.swaps):
+            pattern = corpus.swap_pattern[channel] if channel in corpus.swaps else _SEQUENCE[channel[1] if channel in _PAIRS else channel]
+            whole = pattern.search(run) is not None
+            if whole or channel in _BYTES and (LOST in run or _BYTES[channel].get(run[-1], 0) in _LEADS[2]):
+                other, gain = _decode(run, channel, corpus)
+                if other != run and gain > 0:
+                    known.append((channel, other, gain, whole))
+        if len(corpus.readings) > 1 << 18:
+            corpus.readings.clear()
+        corpus.readings[run] = known
+    return known
+
+
 def _undo(text: str, corpus: Corpus) -> tuple[str, bool]:
     """Undo the wrong encoding that speaks most for itself over all runs of the text, again and again while there is one."""
     undone = False
     for _ in range(ROUNDS):
-        runs = Counter(_RUN.findall(text))
-        joined = "\n".join(runs)
-        best, top, fixes = None, 0.0, {}
-        for channel in (*MULTI, *_PAIRS, *corpus.swaps):
-            pattern = corpus.swap_pattern[channel] if channel in corpus.swaps else _SEQUENCE[channel[1] if channel in _PAIRS else channel]
-            if pattern.search(joined) is None:
-                continue
-            odds, most, found = 0.0, 0.0, {}
-            for run, n in runs.items():
-                whole = pattern.search(run) is not None
-                # where the text shows the encoding, incomplete sequences are its own, too
-                if whole or channel in _BYTES and (LOST in run or _BYTES[channel].get(run[-1], 0) in _LEADS[2]):
-                    other, gain = _decode(run, channel, corpus)
-                    if other != run and gain > 0:
-                        found[run] = other
-                        if whole:
-                            odds += n * gain
-                            most = max(most, gain)
-            if most > (SINGLE_ODDS if channel in corpus.swaps else ODDS) and odds > top:
-                best, top, fixes = channel, odds, found
-        if best is None:
+        odds, most = Counter(), Counter()
+        fixes: dict[object, dict[str, str]] = defaultdict(dict)
+        for run, n in Counter(r for r in _RUN.findall(text) if not r.isascii()).items():
+            for channel, other, gain, whole in corpus.readings.get(run) or _readings(run, corpus):
+                fixes[channel][run] = other
+                if whole:
+                    odds[channel] += n * gain
+                    most[channel] = max(most[channel], gain)
+        sure = [c for c in odds if most[c] > (SINGLE_ODDS if c in corpus.swaps else ODDS)]
+        if not sure:
             break
         undone = True
-        text = _RUN.sub(lambda m, f=fixes: f.get(m.group(), m.group()), text)
+        fix = fixes[max(sure, key=odds.__getitem__)]
+        text = _RUN.sub(lambda m, f=fix: f.get(m.group(), m.group()), text)
     return text, undone
 
 
@@ -358,10 +433,8 @@ def suspicious(text: Column, corpus: Corpus) -> Column:
     of a more frequent one in an encoding of one byte, or a lost character. Runs of ASCII are cut to spaces first, which
     leaves little to look at.
     """
-    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", " ")
-    odd = beyond.rlike(_class({LOST, *corpus.swap_signs}))
-    lost = F.contains(text, F.lit("?")) & text.rlike(r"\p{L}\?\p{L}")
-    return odd | lost | (beyond.rlike(_QUICK) & beyond.rlike(_SEQUENCES))
+    odd = F.regexp_replace(text, r"[\x00-\x7F]+", " ").rlike(f"{_class({LOST, *corpus.swap_signs})}|{_SEQUENCES}")
+    return odd | (F.contains(text, F.lit("?")) & text.rlike(r"\p{L}\?\p{L}"))
 
 
 def restore(text: str | None, corpus: Corpus) -> tuple[str | None, bool]:
@@ -388,8 +461,7 @@ def corpus_model(docs: DataFrame, text: str, extra: DataFrame | None = None) ->
     """
     found = F.regexp_extract_all(F.col(text), F.lit(r"(?<![!-~])([!-~]*+[^\x00-\x7F][^\x00-\x20\x7F]*+)"), F.lit(1))
     runs = docs.select(F.explode(found).alias("r")).groupBy(F.translate("r", "123456789", "000000000").alias("r")).agg(F.count("*").alias("n"))
-    beyond = F.regexp_replace("r", r"[\x00-\x7F]+", " ")
-    sound = ~F.contains("r", F.lit(LOST)) & ~(beyond.rlike(_QUICK) & beyond.rlike(_SEQUENCES))
+    sound = ~F.regexp_replace("r", r"[\x00-\x7F]+", " ").rlike(f"{LOST}|{_SEQUENCES}")
     runs = materialize(runs.where(sound).select(F.lower("r").alias("r"), "n"), "runs")
     words = runs.select("n", F.explode(F.regexp_extract_all("r", F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).where(~F.col("w").rlike(r"^[\x00-\x7F]*$"))
     if extra is not None:
