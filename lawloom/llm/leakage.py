@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -129,11 +130,10 @@ class Index:
 
     def stretches(self, ws: Sequence[str]) -> list[list[int]]:
         """The words of a text by number, where at least ``least`` words of items stand in a row."""
-        get = self.vocabulary.get
-        coded = [get(w, -1) for w in ws]
-        known = np.concatenate([[False], np.fromiter(coded, np.int64, len(coded)) >= 0, [False]])
-        edges = np.flatnonzero(known[1:] != known[:-1]).tolist()
-        return [coded[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= self.least]
+        coded = np.fromiter(map(self.vocabulary.get, ws, repeat(-1)), np.int32, len(ws))
+        breaks = np.flatnonzero(np.concatenate([[-1], coded, [-1]]) < 0)  # unknown words, and before the first and behind the last
+        long = np.flatnonzero(np.diff(breaks) > self.least)
+        return [coded[a : b - 1].tolist() for a, b in zip(breaks[long].tolist(), breaks[long + 1].tolist(), strict=True)]
 
     def longest(self, stretch: Sequence[int], at: int) -> int:
         """The most words in a row that a stretch has in common with an item; 0 if fewer than ``least``."""
@@ -155,12 +155,16 @@ class Index:
         passages, of = [], []
 
         def ask() -> None:
-            pairs = dict.fromkeys((n, at) for n, hits in zip(of, self.search(passages), strict=True) for at in hits)
-            for n, at in pairs:
+            asked: dict[int, set[int]] = {}
+            for n, hits in zip(of, self.search(passages), strict=True):
+                asked.setdefault(n, set()).update(hits)
+            for n, hits in asked.items():
                 key, stretch = waiting[n]
-                if most := self.longest(stretch, at):
-                    place = (key, self.ids[at])
-                    found[place] = max(found.get(place, 0), most)
+                runs = {tuple(stretch[i : i + self.least]) for i in range(len(stretch) - self.least + 1)} if hits else set()
+                for at in hits:
+                    if not self.runs[at].keys().isdisjoint(runs):
+                        place = (key, self.ids[at])
+                        found[place] = max(found.get(place, 0), self.longest(stretch, at))
             waiting.clear()
             passages.clear()
             of.clear()
